@@ -105,20 +105,29 @@ def add_instant(df: DataFrame, value: str, out: str, zone: str | None = None, da
         .when(F.length(s) == 16, fine.cast("long"))
         .otherwise(F.floor(fine / 1000).cast("long")),
     )
-    kept = [c for c in df.columns if c != out]
-    return (
-        df.withColumn("_i_s", F.regexp_replace(F.col(value), _WHITE, ""))
-        .withColumn("_i_f", F.split(fields, r"\|", -1))
-        .withColumn("_i_mon", F.lower(F.get(F.col("_i_f"), F.lit(1))))
-        .withColumns({"_i_off": get(8), "_i_zone": F.coalesce(get(9), zone_col), "_i_month": F.when(swapped, number(2)).otherwise(F.coalesce(second_of, by_name)), "_i_day": F.when(swapped, second_of).otherwise(number(2)), "_i_hour": hour, "_i_sec": F.when(second < 60, second).cast("decimal(16,6)")})
-        .withColumn("_i_local", F.try_make_timestamp_ntz(number(0), F.col("_i_month"), F.col("_i_day"), F.col("_i_hour"), F.coalesce(number(4), F.lit(0)), F.col("_i_sec")))
-        .withColumn("_i_utc", F.convert_timezone(named, F.lit("UTC"), needs_zone))
-        .withColumn(
-            out,
-            F.when(F.col("_i_f").isNotNull(), calendar + F.rpad(F.substring(F.coalesce(get(6), F.lit("")), 1, 6), 6, "0").cast("int")).otherwise(epoch),
-        )
-        .select(*[F.col(f"`{c}`") for c in kept], out)
+    pieces = {
+        "_i_off": get(8),
+        "_i_zone": F.coalesce(get(9), zone_col),
+        "_i_month": F.when(swapped, number(2)).otherwise(F.coalesce(second_of, by_name)),
+        "_i_day": F.when(swapped, second_of).otherwise(number(2)),
+        "_i_hour": hour,
+        "_i_sec": F.when(second < 60, second).cast("decimal(16,6)"),
+    }
+    made = F.try_make_timestamp_ntz(
+        number(0), F.col("_i_month"), F.col("_i_day"), F.col("_i_hour"), F.coalesce(number(4), F.lit(0)), F.col("_i_sec")
     )
+    micros = F.rpad(F.substring(F.coalesce(get(6), F.lit("")), 1, 6), 6, "0").cast("int")
+    kept = [F.col(f"`{c}`") for c in df.columns if c != out]
+    df = _once(df.withColumn("_i_s", F.regexp_replace(F.col(value), _WHITE, "")), "_i_s", F.col("_i_s"))
+    df = _once(df, "_i_f", F.split(fields, r"\|", -1)).withColumn("_i_mon", F.lower(F.get(F.col("_i_f"), F.lit(1))))
+    df = _once(df.withColumns(pieces), "_i_local", made).withColumn("_i_utc", F.convert_timezone(named, F.lit("UTC"), needs_zone))
+    return _once(df, out, F.when(F.col("_i_f").isNotNull(), calendar + micros).otherwise(epoch)).select(*kept, out)
+
+
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with ``name`` as the only element of an exploded array: no rule of the optimiser copies ``value`` into
+    the expressions and filters that use it, so that it stays one computation and the plan stays small."""
+    return df.withColumn(name, F.explode(F.array(value)))
 
 
 def with_instant(df: DataFrame, machines: DataFrame, value: str, out: str = "utc_us") -> DataFrame:
