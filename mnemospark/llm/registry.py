@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, nearest_time
+from . import conversations, credentials, nearest_time
 
-_MODULES = [nearest_time, conversations]
+_MODULES = [credentials, nearest_time, conversations]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
