@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, credentials, nearest_time
+from . import conversations, credentials, nearest_time, pairs
 
-_MODULES = [credentials, nearest_time, conversations]
+_MODULES = [credentials, nearest_time, conversations, pairs]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
