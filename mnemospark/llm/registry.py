@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, credentials, nearest_time, pairs
+from . import conversations, credentials, leakage, near_duplicates, nearest_time, pairs
 
-_MODULES = [credentials, nearest_time, conversations, pairs]
+_MODULES = [credentials, near_duplicates, nearest_time, conversations, pairs, leakage]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
