@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, credentials, leakage, near_duplicates, nearest_time, pairs
+from . import conversations, credentials, leakage, mixing, near_duplicates, nearest_time, pairs, similar_vectors, subjects
 
-_MODULES = [credentials, near_duplicates, nearest_time, conversations, pairs, leakage]
+_MODULES = [credentials, similar_vectors, near_duplicates, nearest_time, conversations, pairs, leakage, mixing, subjects]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
