@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -51,7 +52,11 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder: later jobs read it instead of computing it again."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    written = df.checkpoint(eager=True)
+    del df
+    gc.collect()  # with the references gone, the JVM's collector lets Spark drop the shuffle files behind the cut
+    written.sparkSession.sparkContext._jvm.System.gc()
+    return written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
