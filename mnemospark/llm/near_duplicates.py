@@ -2,9 +2,9 @@
 
 Equal word sets are one record with copies. Similar sets are brought together by sorting on MinHash values and cut
 into groups of at most GROUP members, each with the union of its members' tokens. A set is compared with a group
-only if one of its rarest tokens (the prefix that any partner must share) is in a member's prefix, and the group is
-opened only if the set's overlap with the union reaches the least overlap a partner needs. Links become groups by
-alternating large-star and small-star joins.
+only if one of its rarest tokens (the prefix that any partner must share) is in a smaller or equal member's prefix at
+a place that leaves enough tokens behind it, and the group is opened only if the set's overlap with the union reaches
+the least overlap a partner needs. Links become groups by alternating large-star and small-star joins.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from ..session import cut, table
 THRESHOLD = 0.8
 GROUP = 32
 #: Counters of the frequency sketch that orders tokens; a fixed size, whatever the input.
-BUCKETS = 1 << 20
+BUCKETS = 1 << 21
 _WORD = re.compile(r"\w+")
 
 
@@ -51,157 +51,167 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _token_sets(batches: Iterator[pd.DataFrame], with_tokens: bool) -> Iterator[pd.DataFrame]:
+    """Nodes with the key of their word set (its 128-bit hash and the source) and, if wanted, its tokens and MinHash values."""
     ids = _Ids()
     for b in batches:
         rows = []
-        for src, i, t in zip(b["src"], b["row_id"], b["text"], strict=True):
+        for node, t in zip(b["node"], b["text"], strict=True):
             words = set(_WORD.findall(t.lower())) if t else ()
             if not words:
                 continue
-            key = xxhash.xxh3_128_digest("\n".join(sorted(words)).encode("utf-8", "replace"))
+            key = xxhash.xxh3_128_digest("\n".join(sorted(words)).encode("utf-8", "replace")) + bytes([node & 1])
             if not with_tokens:
-                rows.append((src, i, key))
+                rows.append((node, key))
                 continue
             a = np.unique(np.fromiter((ids[w] for w in words), dtype=np.uint32, count=len(words)))
             mixed = a.astype(np.uint64)
             mins = [int(((mixed * np.uint64(m)) & np.uint64(0xFFFFFFFF)).min()) for m in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
-            rows.append((src, i, key, *mins, a.view(np.int32)))
-        yield pd.DataFrame(rows, columns=["src", "row_id", "key"] + (["m1", "m2", "m3", "tokens"] if with_tokens else []))
+            rows.append((node, key, mins[0] * 2 + (node & 1), *mins[1:], a.view(np.int32)))
+        yield pd.DataFrame(rows, columns=["node", "key"] + (["m1", "m2", "m3", "tokens"] if with_tokens else []))
 
 
 def _cut_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (src, m1, ...) as groups of neighbours. A member takes the label of the first earlier member of its
-    own or the previous group that it is like, so that long runs of near-copies carry one label; memory holds two groups."""
-    run: tuple = ()
+    """Rows sorted by (m1, ...) as groups of neighbours. A member takes the label of the first earlier member of its own or
+    the previous group that it is like, so that long runs of near-copies carry one label; memory holds two groups."""
+    run = None
     before: list[tuple[int, int, np.ndarray]] = []
     now: list[tuple[int, int, np.ndarray]] = []
 
-    def row(src: str) -> tuple:
+    def row() -> tuple:
         flat = np.concatenate([x[2] for x in now])
-        return src, now[0][0], [x[0] for x in now], [x[1] for x in now], [len(x[2]) for x in now], flat.view(np.int32)
+        return now[0][0], [x[0] for x in now], [x[1] for x in now], [len(x[2]) for x in now], flat.view(np.int32)
 
-    columns = ["src", "gid", "sids", "labels", "sizes", "tokens"]
+    columns = ["gid", "sids", "labels", "sizes", "tokens"]
     for b in batches:
         out = []
-        for src, m1, sid, tokens in zip(b["src"], b["m1"], b["sid"], b["tokens"], strict=True):
-            if run != (src, m1) or len(now) >= GROUP:
+        for m1, sid, tokens in zip(b["m1"], b["sid"], b["tokens"], strict=True):
+            if run != m1 or len(now) >= GROUP:
                 if now:
-                    out.append(row(run[0]))
-                before = now if run == (src, m1) else []
-                run, now = (src, m1), []
+                    out.append(row())
+                before = now if run == m1 else []
+                run, now = m1, []
             t = np.asarray(tokens, dtype=np.int32).view(np.uint32)
             label = next((x[1] for x in now + before if alike(t, x[2])), sid)
             now.append((sid, label, t))
         if out:
             yield pd.DataFrame(out, columns=columns)
     if now:
-        yield pd.DataFrame([row(run[0])], columns=columns)
+        yield pd.DataFrame([row()], columns=columns)
 
 
 def _frequencies(groups: DataFrame) -> np.ndarray:
-    """Saturating counts of tokens over all sets in BUCKETS counters: merged by slots, so that the driver gets at most 16 sketches."""
+    """Counts (up to 255) of tokens over all sets in BUCKETS counters, merged in slots, so that the driver gets at most four sketches."""
+    top = np.iinfo(np.uint8).max
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(BUCKETS, dtype=np.int64)
         for b in batches:
-            for t in b["tokens"]:
-                total += np.bincount(np.asarray(t, dtype=np.int32).view(np.uint32) & np.uint32(BUCKETS - 1), minlength=BUCKETS) if len(t) > 4096 else 0
-                if len(t) <= 4096:
-                    np.add.at(total, np.asarray(t, dtype=np.int32).view(np.uint32) & np.uint32(BUCKETS - 1), 1)
-        yield pd.DataFrame({"sketch": [np.minimum(total, 65535).astype(np.uint16).tobytes()]})
+            if len(b):
+                flat = np.concatenate([np.asarray(t, dtype=np.int32) for t in b["tokens"]]).view(np.uint32)
+                total += np.bincount(flat & np.uint32(BUCKETS - 1), minlength=BUCKETS)
+        yield pd.DataFrame({"sketch": [np.minimum(total, top).astype(np.uint8).tobytes()]})
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(BUCKETS, dtype=np.int64)
         for s in pdf["sketch"]:
-            total += np.frombuffer(s, dtype=np.uint16)
-        return pd.DataFrame({"sketch": [np.minimum(total, 65535).astype(np.uint16).tobytes()]})
+            total += np.frombuffer(s, dtype=np.uint8)
+        return pd.DataFrame({"sketch": [np.minimum(total, top).astype(np.uint8).tobytes()]})
 
     parts = groups.select("tokens").mapInPandas(count, "sketch binary")
-    merged = parts.withColumn("slot", F.spark_partition_id() % 16).groupBy("slot").applyInPandas(merge, "sketch binary").collect()
-    return sum((np.frombuffer(r["sketch"], dtype=np.uint16).astype(np.int64) for r in merged), np.zeros(BUCKETS, dtype=np.int64))
+    total = np.zeros(BUCKETS, dtype=np.int64)
+    for r in parts.withColumn("slot", F.spark_partition_id() % 4).groupBy("slot").applyInPandas(merge, "sketch binary").toLocalIterator():
+        total += np.frombuffer(bytes(r["sketch"]), dtype=np.uint8)
+    return np.minimum(total, top).astype(np.uint8)
 
 
-def _links(groups: DataFrame) -> DataFrame:
-    """(a, b) of links between members with different labels, enough to connect all that are connected."""
-    spark = groups.sparkSession
-    counts = spark.sparkContext.broadcast(np.minimum(_frequencies(groups), 65535).astype(np.uint16))
+def _pairs(groups: DataFrame) -> DataFrame:
+    """(sid, gid) of sets and groups with a smaller or equal member of another label that may be alike."""
+    counts = groups.sparkSession.sparkContext.broadcast(_frequencies(groups))
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df = counts.value
         for b in batches:
-            rows = []
-            for src, gid, sids, labels, sizes, flat in zip(*(b[c] for c in b.columns), strict=True):
+            cols: list[list[np.ndarray]] = [[] for _ in range(6)]
+            for gid, sids, labels, sizes, flat in zip(*(b[c] for c in b.columns), strict=True):
                 flat = np.asarray(flat, dtype=np.int32).view(np.uint32)
-                ends = np.cumsum(sizes)
-                for sid, label, n, end in zip(sids, labels, sizes, ends, strict=True):
+                for sid, label, n, end in zip(sids, labels, sizes, np.cumsum(sizes), strict=True):
                     t = flat[end - n : end]
                     f = df[t & np.uint32(BUCKETS - 1)]
                     order = np.lexsort((t, f))[: n - least_overlap(int(n)) + 1]
-                    order = order[f[order] > 1]
-                    rows.extend((src, int(x), gid, sid, label, int(n)) for x in t[order].view(np.int32))
-            yield pd.DataFrame(rows, columns=["src", "token", "gid", "sid", "label", "n"])
+                    place = np.flatnonzero(f[order] > 1)  # a token of one set only links nothing
+                    t = t[order[place]].astype(np.int64) * 2 + (sid & 1)
+                    for c, x in zip(cols, (t, np.full(len(t), sid), np.full(len(t), label), np.full(len(t), gid), np.full(len(t), n), place), strict=True):
+                        c.append(x)
+            if cols[0]:
+                yield pd.DataFrame(dict(zip(["key", "sid", "label", "gid", "n", "pos"], map(np.concatenate, cols), strict=True)))
+
+    p = groups.mapInPandas(prefixes, "key long, sid long, label long, gid long, n int, pos int")
+    q = p.select("key", "sid", "label", "n", "pos")
+    held = p.where(F.col("pos") < F.col("n") - F.ceil(F.col("n") * 8 / 9) + 1)
+    held = held.select("key", F.col("sid").alias("osid"), F.col("label").alias("olabel"), "gid", F.col("n").alias("m"), F.col("pos").alias("opos"))
+    size = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("osid") < F.col("sid")))
+    size = size & (F.col("m") * 5 >= F.col("n") * 4) & (F.col("label") != F.col("olabel"))
+    behind = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("opos"))
+    return q.join(held, "key").where(size & (behind * 9 >= (F.col("n") + F.col("m")) * 4)).select("sid", "gid").distinct()
 
-    p = groups.mapInPandas(prefixes, "src string, token int, gid long, sid long, label long, n int")
-    matrix = p.groupBy("src", "token", "gid", F.col("label").alias("glabel")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    q = p.select("src", "token", "sid", "label", "n")
-    fits = (F.col("label") < F.col("glabel")) & (F.col("n") * 4 <= F.col("most") * 5) & (F.col("least") * 4 <= F.col("n") * 5)
-    pairs = q.join(matrix, ["src", "token"]).where(fits).select("src", "sid", "gid").distinct()
 
-    members = groups.select("src", "gid", F.posexplode("sids").alias("k", "sid"), "labels", "sizes", "tokens")
+def _links(groups: DataFrame) -> DataFrame:
+    """(a, b) of links between members with different labels, enough to connect all that are connected."""
+    members = groups.select(F.posexplode("sids").alias("k", "sid"), "labels", "sizes", "tokens")
     start = F.aggregate(F.slice("sizes", F.lit(1), F.col("k")), F.lit(0), lambda a, x: a + x)
-    members = members.select("src", "sid", F.get("labels", F.col("k")).alias("label"), F.slice("tokens", start + 1, F.get("sizes", F.col("k"))).alias("query"))
-    asked = pairs.join(members, ["src", "sid"]).join(groups, ["src", "gid"])
+    members = members.select("sid", F.get("labels", F.col("k")).alias("label"), F.slice("tokens", start + 1, F.get("sizes", F.col("k"))).alias("query"))
+    asked = cut(_pairs(groups)).join(members, "sid").join(groups, "gid")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for src, sid, label, query, sids, labels, sizes, flat in zip(*(b[c] for c in b.columns), strict=True):
+            for sid, label, query, sids, labels, sizes, flat in zip(*(b[c] for c in b.columns), strict=True):
                 query = np.asarray(query, dtype=np.int32).view(np.uint32)
                 flat = np.asarray(flat, dtype=np.int32).view(np.uint32)
-                if len(np.intersect1d(query, flat)) < least_overlap(len(query)):
+                if np.isin(query, flat, kind="sort").sum() < least_overlap(len(query)):
                     continue
                 done = {label}
                 for other, olabel, n, end in zip(sids, labels, sizes, np.cumsum(sizes), strict=True):
                     if olabel not in done and alike(query, flat[end - n : end]):
                         done.add(olabel)
-                        rows.append((src, sid, other))
-            yield pd.DataFrame(rows, columns=["src", "a", "b"])
+                        rows.append((sid, other))
+            yield pd.DataFrame(rows, columns=["a", "b"])
+
+    return asked.select("sid", "label", "query", "sids", "labels", "sizes", "tokens").mapInPandas(verify, "a long, b long")
+
 
-    return asked.select("src", "sid", "label", "query", "sids", "labels", "sizes", "tokens").mapInPandas(verify, "src string, a long, b long")
+def _grouped(r: DataFrame) -> DataFrame:
+    """The groups of the distinct word sets of ``r`` (node, text), written once."""
+    sets = r.mapInPandas(lambda b: _token_sets(b, True), "node long, key binary, m1 long, m2 long, m3 long, tokens array<int>")
+    one = sets.groupBy("key").agg(F.min("node").alias("sid"), F.first(F.struct("m1", "m2", "m3", "tokens")).alias("x")).select("sid", "x.*")
+    order = ["m1", "m2", "m3", "sid"]
+    rows = one.repartitionByRange(*order).sortWithinPartitions(*order).select("m1", "sid", "tokens")
+    return cut(rows.mapInPandas(_cut_groups, "gid long, sids array<long>, labels array<long>, sizes array<int>, tokens array<int>"))
 
 
 def near_duplicate_groups(records: DataFrame) -> DataFrame:
     """(src, row_id, group_id): groups of records of one ``src`` connected by word sets of similarity THRESHOLD or more.
 
-    ``records``: (src, row_id, text); words are the lower-case ``\\w+``. A group is named after its smallest row_id.
-    Groups of one, NULL texts, texts without words and NULL ids give no row; a row_id that comes again with the same
-    text counts once (with another text, both its sets link it); other columns are dropped.
+    ``records``: (src, row_id, text) with src ``doc`` or ``turn``; words are the lower-case ``\\w+``. A group is named after
+    its smallest row_id. Groups of one, NULL texts, texts without words and NULL ids give no row; a row_id that comes
+    again with the same text counts once (with another text, both its sets link it); other columns are dropped.
     """
-    r = records.select("src", F.col("row_id").cast("long").alias("row_id"), "text").where("src is not null and row_id is not null and text is not null")
-    sets = r.mapInPandas(lambda b: _token_sets(b, True), "src string, row_id long, key binary, m1 long, m2 long, m3 long, tokens array<int>")
-    ids = F.min("row_id").alias("sid")
-    one = sets.groupBy("src", "key").agg(ids, F.first(F.struct("m1", "m2", "m3", "tokens")).alias("x"))
-    one = one.select("src", "sid", "x.*")
-    order = ["src", "m1", "m2", "m3", "sid"]
-    groups = one.repartitionByRange(*order).sortWithinPartitions(*order).select("src", "m1", "sid", "tokens")
-    groups = cut(groups.mapInPandas(_cut_groups, "src string, gid long, sids array<long>, labels array<long>, sizes array<int>, tokens array<int>"))
-    near = groups.select("src", F.explode(F.arrays_zip("sids", "labels")).alias("z")).select("src", F.col("z.sids").alias("a"), F.col("z.labels").alias("b"))
+    node = F.col("row_id").cast("long") * 2 + F.when(F.col("src") == "turn", 1).otherwise(0)
+    r = records.where("src in ('doc', 'turn') and row_id is not null and text is not null").select(node.alias("node"), "text")
+    groups = _grouped(r)
+    near = groups.select(F.explode(F.arrays_zip("sids", "labels")).alias("z")).select(F.col("z.sids").alias("a"), F.col("z.labels").alias("b"))
     links = _links(groups).unionAll(near.where("a <> b"))
 
-    keys = r.mapInPandas(lambda b: _token_sets(b, False), "src string, row_id long, key binary").distinct()
-    copies = keys.groupBy("src", "key").agg(ids, (F.min("row_id") < F.max("row_id")).alias("copied"))
-    several = keys.groupBy("src", "row_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("src", "row_id")
-    bridges = keys.join(several, ["src", "row_id"]).join(copies, ["src", "key"]).select("src", F.col("row_id").alias("a"), F.col("sid").alias("b"))
-    parts = []
-    for src, code in (("doc", 0), ("turn", 1)):
-        e = links.unionAll(bridges).where(F.col("src") == src)
-        parts.append(e.select((F.col("a") * 2 + code).alias("a"), (F.col("b") * 2 + code).alias("b")))
-    found = connected_components(parts[0].unionAll(parts[1]))
-    code = F.when(F.col("src") == "turn", 1).otherwise(0)
-    reps = copies.withColumn("node", F.col("sid") * 2 + code).join(found, "node", "left")
-    named = F.coalesce(F.floor(F.col("component") / 2).cast("long"), F.when(F.col("copied"), F.col("sid")))
-    reps = reps.select("src", "key", named.alias("group_id")).where("group_id is not null")
-    return keys.join(reps, ["src", "key"]).select("src", "row_id", "group_id").distinct()
+    keys = cut(r.mapInPandas(lambda b: _token_sets(b, False), "node long, key binary").distinct())
+    copies = keys.groupBy("key").agg(F.min("node").alias("sid"), (F.min("node") < F.max("node")).alias("copied"))
+    several = keys.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
+    bridges = keys.join(several, "node").join(copies, "key").select(F.col("node").alias("a"), F.col("sid").alias("b"))
+    found = connected_components(links.unionAll(bridges))
+    reps = copies.join(found, copies["sid"] == found["node"], "left").drop("node")
+    reps = reps.select("key", F.coalesce("component", F.when(F.col("copied"), F.col("sid"))).alias("g")).where("g is not null")
+    row = lambda c: F.floor(F.col(c) / 2).cast("long")
+    named = keys.join(reps, "key").select(F.when(F.col("node") % 2 == 1, F.lit("turn")).otherwise(F.lit("doc")).alias("src"), row("node").alias("row_id"), row("g").alias("group_id"))
+    return named.distinct()
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
