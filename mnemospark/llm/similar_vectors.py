@@ -9,8 +9,6 @@ holds all vectors, so no query is left without its neighbours. Equal vectors are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,52 +18,60 @@ from ..session import cut, table
 
 NEIGHBOURS = 10
 #: Single-projection hashes, half width of a window at radius 1 and least share of the windows a candidate is in.
-PROJECTIONS, WIDTH, COLLIDING = 40, 1.25, 0.6
+PROJECTIONS, WIDTH, COLLIDING = 24, 0.9, 0.4
 #: Radii grow by this factor from level to level.
-GROWTH = 1.3
-#: Vectors of a block: what one task indexes and searches at a time.
-BLOCK = 25_000
+GROWTH = 1.4
+#: Vectors that one task indexes and queries that it answers with them.
+BLOCK, QUERIES_AT_ONCE = 20_000, 6_000
 SEED = 20_240_601
 
 
-def search_block(data: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def search_block(data: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query the ids and cosines of its ``k`` (or all, if fewer) best vectors of the block. Rows have length 1."""
     n, dim = data.shape
     rng = np.random.default_rng(SEED)
     axes = rng.standard_normal((dim, PROJECTIONS))
     projected = data @ axes
-    order = np.argsort(projected, axis=0, kind="stable").T.astype(np.int32)
+    order = np.argsort(projected, axis=0, kind="stable").T.copy()
     lines = np.take_along_axis(projected, order.T, axis=0).T.copy()
-    probe = rng.choice(n, size=min(n, 32), replace=False)
+    probe = rng.choice(n, size=min(n, 64), replace=False)
     near = np.sort(np.sqrt(np.maximum(0, 2 - 2 * data[probe] @ data.T)), axis=1)[:, min(k, n - 1)]
-    radius = max(0.02, float(np.quantile(near, 0.2)))
+    radius = max(0.02, float(np.quantile(near, 0.1)))
     need = int(np.ceil(COLLIDING * PROJECTIONS))
     centres = queries @ axes
-    pending, results = np.arange(len(queries)), {}
-    while len(pending):
-        last = radius >= 2 or n <= k
-        if not last:
-            low = np.stack([np.searchsorted(line, centres[pending, i] - WIDTH * radius) for i, line in enumerate(lines)])
-            high = np.stack([np.searchsorted(line, centres[pending, i] + WIDTH * radius, side="right") for i, line in enumerate(lines)])
-        left = []
-        for j, q in enumerate(pending):
-            if last:
-                found = np.arange(n)
-            else:
-                hits = np.concatenate([order[i, a:b] for i, (a, b) in enumerate(zip(low[:, j], high[:, j], strict=True))])
-                found = np.flatnonzero(np.bincount(hits, minlength=n) >= need)
-            if len(found) < k and not last:
-                left.append(q)
-                continue
-            cosine = data[found] @ queries[q]
-            top = np.lexsort((ids[found], -cosine))[:k] if len(found) <= 4 * k else _best(cosine, ids[found], k)
-            if not last and np.sqrt(max(0.0, 2 - 2 * cosine[top[-1]])) > radius:
-                left.append(q)
-                continue
-            results[q] = (ids[found[top]], cosine[top])
-        pending, radius = np.array(left, dtype=np.int64), radius * GROWTH
-    for q in range(len(queries)):
-        yield results[q]
+    results: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(queries)
+    for start in range(0, len(queries), 512):  # the counters of so many queries are kept between levels
+        pending = np.arange(start, min(start + 512, len(queries)))
+        counts = np.zeros((len(pending), n), dtype=np.uint8)
+        low = np.stack([np.searchsorted(line, centres[pending, i]) for i, line in enumerate(lines)])
+        high, r = low.copy(), radius
+        while len(pending):
+            last = r >= 2 or n <= k
+            if not last:
+                wide_low = np.stack([np.searchsorted(line, centres[pending, i] - WIDTH * r) for i, line in enumerate(lines)])
+                wide_high = np.stack([np.searchsorted(line, centres[pending, i] + WIDTH * r, side="right") for i, line in enumerate(lines)])
+            left = []
+            for j, q in enumerate(pending):
+                if last:
+                    found = np.arange(n)
+                else:  # only what the windows grew by is counted
+                    row = counts[q - start]
+                    grown = [order[i, a:b] for i, (a, b) in enumerate(zip(wide_low[:, j], low[:, j], strict=True)) if a < b]
+                    grown += [order[i, a:b] for i, (a, b) in enumerate(zip(high[:, j], wide_high[:, j], strict=True)) if a < b]
+                    if grown:
+                        row += np.bincount(np.concatenate(grown), minlength=n).astype(np.uint8)
+                    found = np.flatnonzero(row >= need)
+                if len(found) >= k or last:
+                    cosine = data[found] @ queries[q]
+                    top = np.lexsort((ids[found], -cosine))[:k] if len(found) <= 4 * k else _best(cosine, ids[found], k)
+                    if last or np.sqrt(max(0.0, 2 - 2 * cosine[top[-1]])) <= r:
+                        results[q] = ids[found[top]], cosine[top]
+                        continue
+                left.append(j)
+            if not last:
+                low, high = wide_low[:, left], wide_high[:, left]
+            pending, r = pending[left], r * GROWTH
+    return results
 
 
 def _best(cosine: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -87,11 +93,12 @@ def nearest_vectors(vectors: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     ranked = v.withColumn("r", F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))).where(F.col("r") <= k + 1)
     unique = ranked.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     unique = cut(unique.select(F.get("ids", F.lit(0)).alias("uid"), F.size("vec").alias("dim"), "vec", "ids"))
-    blocks = max(1, -(-unique.count() // BLOCK))
-    mine = unique.select("dim", "uid", "vec", F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("int").alias("block"))
-    parts = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    asked = mine.select("dim", F.col("block").alias("q"), parts.alias("d"), "uid", "vec", F.lit(True).alias("query"))
-    held = mine.select("dim", parts.alias("q"), F.col("block").alias("d"), "uid", "vec", F.lit(False).alias("query"))
+    n = unique.count()
+    blocks, parts = max(1, -(-n // BLOCK)), max(1, -(-n // QUERIES_AT_ONCE))
+    place = lambda seed, of: F.pmod(F.xxhash64(F.lit(seed), "uid"), F.lit(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    asked = unique.select("dim", place(1, parts).alias("q"), every(blocks).alias("d"), "uid", "vec", F.lit(True).alias("query"))
+    held = unique.select("dim", every(parts).alias("q"), place(2, blocks).alias("d"), "uid", "vec", F.lit(False).alias("query"))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
@@ -100,7 +107,7 @@ def nearest_vectors(vectors: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
         data, queries = x[~is_query], x[is_query]
         if not len(data) or not len(queries):
             return pd.DataFrame({"uid": [], "other": [], "cosine": []}).astype({"uid": "int64", "other": "int64", "cosine": "float64"})
-        found = list(search_block(data, ids[~is_query], queries, k + 1))
+        found = search_block(data, ids[~is_query], queries, k + 1)
         size = [len(i) for i, _ in found]
         return pd.DataFrame({"uid": np.repeat(ids[is_query], size), "other": np.concatenate([i for i, _ in found]), "cosine": np.concatenate([c for _, c in found])})
 
