@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.instants import with_instant
 from ..operators.components import connected_components
+from ..plans.times import INSTANTS_SQL
 from ..session import cut, table
 
 # What injected, non-question user texts start with, by agent; and the injected blocks.
@@ -156,4 +157,25 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found}
-SQL: dict[str, str] = {}
+_BLOCKS = "coalesce(CAST(CASE WHEN json_type({0}) = 'ARRAY' THEN {0} END AS JSON[]), [])"
+_JOIN = "array_to_string(list_filter(list_transform({0}, lambda b: b->>'$.text'), lambda t: t <> ''), chr(10))"
+_SPACE = r"[\s\p{Z}\x0b\x1c-\x1f\x85]"
+_NOISY = {a: " OR ".join(f"starts_with(bare, '{p}')" for p in ps) for a, ps in NOISE.items()}
+SQL = {
+    "p6_found": f"""
+WITH r AS (SELECT DISTINCT rec_id, session_id, agent, type, content, timestamp, machine, coalesce(is_meta, false) OR coalesce(is_sidechain, false) AS side, starts_with(content, '{{') OR starts_with(content, '[{{') OR content = '[]' AS js
+             FROM message_records WHERE content IS NOT NULL AND (type IN ('user', 'assistant', 'response_item', 'gemini'))),
+     v AS (SELECT *, CASE WHEN js AND json_valid(content) THEN content::JSON END AS j FROM r),
+     x AS (SELECT *, CASE WHEN agent = 'codex' THEN CASE WHEN j->>'$.type' = 'message' AND j->>'$.role' IN ('user', 'assistant') THEN j->>'$.role' END WHEN type = 'user' THEN 'user' ELSE 'assistant' END AS role,
+             CASE WHEN agent = 'codex' THEN {_JOIN.format(_BLOCKS.format("(j->'$.content')"))} WHEN agent = 'claude' AND type = 'user' THEN CASE WHEN NOT js THEN content END
+                  WHEN agent = 'claude' THEN {_JOIN.format("list_filter(" + _BLOCKS.format("j") + ", lambda b: b->>'$.type' = 'text')")} WHEN NOT js THEN content ELSE {_JOIN.format(_BLOCKS.format("j"))} END AS text FROM v),
+     b AS (SELECT *, regexp_replace(regexp_replace(text, '{INJECTED}', '', 'g'), '^{_SPACE}+|{_SPACE}+$', '', 'g') AS bare, regexp_replace(content, '^{_SPACE}+', '') AS raw FROM x WHERE role IS NOT NULL),
+     m AS (SELECT *, bare <> '' AND NOT side AND NOT (role = 'user' AND CASE agent WHEN 'claude' THEN {_NOISY["claude"]} OR {_NOISY["claude"].replace("(bare", "(raw")} WHEN 'codex' THEN {_NOISY["codex"]} ELSE {_NOISY["gemini"]} END) AS ok FROM b),
+     u AS (SELECT DISTINCT row_id, us FROM ({INSTANTS_SQL}) WHERE src = 'message'),
+     d AS (SELECT session_id, min(rec_id) AS rec_id, arg_min(role, rec_id) AS role, arg_min(ok, rec_id) AS ok, min(timestamp) AS ts FROM m GROUP BY session_id, type, content, timestamp, CASE WHEN timestamp IS NULL THEN rec_id END),
+     t AS (SELECT d.*, CASE WHEN regexp_full_match(ts, '\\d{{4}}-\\d{{2}}-\\d{{2}}T\\d{{2}}:\\d{{2}}:\\d{{2}}\\.\\d{{3}}Z') THEN epoch_us(try_strptime(ts, '%Y-%m-%dT%H:%M:%S.%fZ')) ELSE u.us END AS us FROM d LEFT JOIN u ON u.row_id = d.rec_id WHERE ok),
+     o AS (SELECT *, row_number() OVER w AS pos, lead(role) OVER w AS after FROM t WINDOW w AS (PARTITION BY session_id ORDER BY us, rec_id)),
+     k AS (SELECT session_id FROM o GROUP BY session_id HAVING bool_and(us IS NOT NULL) AND arg_min(role, pos) = 'user' AND bool_and(role <> 'user' OR coalesce(after, '') = 'assistant'))
+SELECT session_id, pos::BIGINT AS pos, rec_id, role FROM o WHERE session_id IN (SELECT session_id FROM k)
+"""
+}

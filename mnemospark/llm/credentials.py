@@ -143,7 +143,7 @@ def _is_secret(v: str, quoted: bool, words: Words, named: str) -> bool:
     if n >= 4 and left <= 2 and re.fullmatch(r"[A-Za-z_]+\d{0,2}", v):
         return False
     if not quoted and re.fullmatch(r"[A-Za-z]+(?:_[A-Za-z]+)*_?\d{0,4}", v) and left <= 2 and not re.search(r"(?:19|20)\d\d$", v) and n > 1:
-        return bool(re.fullmatch(r"[A-Z][a-z]+_[a-z]+\d{3,4}", v))
+        return bool(re.fullmatch(r"[A-Z][a-z]+_[a-z]+\d{2,4}", v))
     return bool(re.search(r"\d", v)) or left >= 4
 
 
@@ -207,6 +207,7 @@ def _in_line(line: str, words: Words, found: dict[str, None]) -> None:
             if named and "uthorization" in key or not _named(key):
                 continue
             v = v if q else _bare_value(v)
+            q = q or line[m.start(1) - 1 : m.start(1)] == ";"  # a part of a connection string is a literal
             if _is_secret(v, q, words, key) and (pattern is not _FLAG or q or not v.startswith("-")):
                 found[v] = None
     for m in _TAG.finditer(line):

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.instants import with_instant
+from ..plans.times import INSTANTS_SQL
 from ..session import table
 
 SECOND = 1_000_000
@@ -89,4 +90,15 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found}
-SQL: dict[str, str] = {}
+SQL = {
+    "p4_found": f"""
+WITH l AS (SELECT turn_id, min(epoch_us(when_ts)) AS t, min(cwd) AS cwd FROM turns WHERE when_ts IS NOT NULL AND trim(cwd) <> '' GROUP BY turn_id),
+     c AS (SELECT l.turn_id, row_number() OVER (PARTITION BY l.turn_id ORDER BY epoch_us(c.committed_at), c.full_sha) AS r, c.full_sha AS k
+           FROM l JOIN commit_log c ON c.cwd = l.cwd AND epoch_us(c.committed_at) BETWEEN l.t AND l.t + {180 * MINUTE}),
+     n AS (SELECT doc_id, cwd, us FROM documents JOIN ({INSTANTS_SQL}) i ON i.src = 'doc' AND i.row_id = doc_id WHERE lower(trim(source)) = 'note'
+           UNION ALL SELECT doc_id, cwd, epoch_us(try_strptime(ts, '%Y-%m-%dT%H:%M:%S.%fZ')) FROM documents WHERE lower(trim(source)) = 'note' AND regexp_full_match(ts, '\\d{{4}}-\\d{{2}}-\\d{{2}}T\\d{{2}}:\\d{{2}}:\\d{{2}}\\.\\d{{3}}Z')),
+     d AS (SELECT l.turn_id, row_number() OVER (PARTITION BY l.turn_id ORDER BY abs(n.us - l.t), n.us, n.doc_id) AS r, n.doc_id AS k
+           FROM l JOIN n ON n.cwd = l.cwd AND n.us BETWEEN l.t - {45 * MINUTE} AND l.t + {45 * MINUTE})
+SELECT turn_id, 'commit' AS kind, k AS target_key FROM c WHERE r = 1 UNION ALL SELECT turn_id, 'note', k::VARCHAR FROM d WHERE r = 1
+"""
+}
