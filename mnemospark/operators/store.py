@@ -87,7 +87,7 @@ class Store:
         return self.spark.read.schema(schema).parquet(f"{self.home}/{name}/{v}") if v else self.spark.createDataFrame([], schema)
 
     def write(self, name: str, df: DataFrame) -> None:
-        """A new version of a table; the one before the last is removed."""
+        """A new version of a table. The one it replaces stays until the next write, as plans may still read it."""
         old = self._current(name)
         v = f"v-{uuid.uuid4().hex}"
         out = conform(df, SCHEMAS[name])
@@ -101,8 +101,9 @@ class Store:
         if old:
             self._fs.delete(to, False)
         self._fs.rename(tmp, to)
-        if old:
-            self._fs.delete(self._path(f"{self.home}/{name}/{old}"), True)
+        for f in self._fs.listStatus(self._path(f"{self.home}/{name}")):
+            if f.isDirectory() and f.getPath().getName() not in (v, old):
+                self._fs.delete(f.getPath(), True)
 
     # -- documents --------------------------------------------------------------------------------------------
     def upsert(self, docs: DataFrame, masked: bool = True, vectors: DataFrame | None = None) -> int:
