@@ -13,18 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions.instants import with_instant
 from ..operators.components import connected_components
+from ..operators.sessions import NOISE
 from ..plans.times import INSTANTS_SQL
 from ..session import cut, table
 
-# What injected, non-question user texts start with, by agent; and the injected blocks.
-NOISE = {
-    "claude": [
-        "<command-name>", "<command-message>", "<local-command-stdout>", "<bash-stdout>", "<bash-input>", "Caveat:",
-        "<task-notification>", "This session is being continued from a previous conversation",
-    ],
-    "codex": ["<environment_context>", "<user_instructions>"],
-    "gemini": ["<session_context>", "<environment_context>"],
-}
+# The injected blocks.
 INJECTED = r"(?s)<system-reminder>.*?</system-reminder>|<task-notification>.*?</task-notification>"
 
 HOUR = 3_600_000_000

@@ -38,7 +38,7 @@ _PLACEHOLDER = re.compile(
     r"|test|default|empty|undefined|required|optional|string|str|your[\w-]*|my[_-]?(?:secret|password|token)|x{3,}|\*+|\.{2,}|-+|•+|_+|0+|<[^>]*>|\[[^\]]*\]|insert[\w-]*|replace[\w-]*|enter[\w-]*)$"
 )
 _REFERENCE = re.compile(
-    r"^\$|^%\w+%$|\$\{|\{\{|^<.*>$|«|»|^process\.env|^os\.|^env[.\[(]|^System\.|^getenv|^ENV\[|^secrets?\.|^vault:|^config\.|^settings\.|^self\.|^this\.|^args\.|\w\(|^!\w|^arn:|^ref\+|^@|^data:|^file:"
+    r"^\$|^%\w+%$|\$\{|\{\{|^<.*>$|«|»|^process\.env|^os\.|^env[.\[(]|^System\.|^getenv|^ENV\[|^secrets?\.|^vault:|^config\.|^settings\.|^self\.|^this\.|^args\.|\w\(|^!(?:vault|ref|secret|env|include|sub)\b|^arn:|^ref\+|^@|^data:|^file:"
 )
 _URL = re.compile(r"^[a-z][a-z0-9+.-]*://", re.I)
 _HEX = re.compile(r"^(?:0x)?[0-9a-f]+$|^[0-9A-F]+$")
@@ -74,7 +74,7 @@ _KNOWN = re.compile(
 _EXCLUDED = re.compile(
     r"sha\d{1,3}-[A-Za-z0-9+/=]+|ssh-[\w-]+ [A-Za-z0-9+/=]+|ecdsa-\S+ [A-Za-z0-9+/=]+|data:[\w/+.-]+;base64,[A-Za-z0-9+/=]*|-----BEGIN (?:PUBLIC KEY|CERTIFICATE|RSA PUBLIC KEY)-----.*?-----END [A-Z ]+-----|[a-z][a-z0-9+.-]*://\S+", re.S
 )
-_TRAILING = ".,;:!?)]}'\"`>"
+_TRAILING = ".,;:?)]}'\"`>"
 
 
 class Words:
@@ -217,7 +217,7 @@ def _in_line(line: str, words: Words, found: dict[str, None]) -> None:
         g = m.groups()
         v, q = next((x for x in (_first(g[0:4]), (g[4] or "", True), _first(g[5:9]), (g[9] or "", True), (g[10] or "", True)) if x[0]), ("", False))
         v = v.rstrip(".,;") if not q else v
-        if _is_secret(v, q, words, ""):
+        if _is_secret(v, q, words, "") and not (len(v) == 64 and _HEX.match(v)):  # a digest, as no key says otherwise
             found[v] = None
     _in_sentence(line, _SENTENCE, words, found)
     _in_sentence(line, _USED, words, found)
@@ -226,8 +226,8 @@ def _in_line(line: str, words: Words, found: dict[str, None]) -> None:
 def _in_sentence(line: str, pattern: re.Pattern, words: Words, found: dict[str, None]) -> None:
     for m in pattern.finditer(line):
         v, q = _first(m.groups())
-        v = v if q else _bare_value(v) if not v.endswith(("!", "*")) else v
-        if (q or re.search(r"\d", v) and not _HEX.match(v)) and _is_secret(v, True, words, ""):
+        v = v if q else _bare_value(v)
+        if (q or re.search(r"\d", v) and (not _HEX.match(v) or len(v) >= 32)) and _is_secret(v, True, words, ""):
             found[v] = None
 
 
