@@ -56,7 +56,7 @@ class MemoryEngine:
         n = work.count()
         if n:
             records = files.session_records(self.spark, agent, root).join(work.select("path"), "path", "left_semi")
-            turns = self._turn_documents(sessions.assemble(sessions.READERS[agent](records)))
+            turns = self._turn_documents(sessions.assemble(sessions.READERS[agent](records), "path"))
             count = self._put(turns)
             self.store.set_states(work.select("key", "value"))
         else:

@@ -117,28 +117,28 @@ def read_gemini(records: DataFrame) -> DataFrame:
 READERS = {"claude": read_claude, "codex": read_codex, "gemini": read_gemini}
 
 
-def assemble(read: DataFrame) -> DataFrame:
+def assemble(read: DataFrame, by: str = "session_id") -> DataFrame:
     """Turns (session_id, turn_no, agent, question, answer, started, cwd, repo, branch, session_title, tools, files) of read records.
 
     Answers are joined by newlines; tools and files are distinct and sorted; the last title holds for all turns.
-    ``started``, cwd and branch are those of the question's record. A session is ordered by ``line``; NULL sessions or
-    lines are left out.
+    ``started``, cwd, branch and session_id are those of the question's record. What belongs together has the same ``by``
+    (the file, where a log may lack identifiers) and is ordered by ``line``; NULLs in either are left out.
     """
-    read = read.where("session_id is not null and line is not null")
-    so_far = Window.partitionBy("session_id").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    read = read.withColumn("_by", F.col(by)).where("_by is not null and line is not null")
+    so_far = Window.partitionBy("_by").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     t = read.withColumn("turn_no", F.sum(F.col("asks").cast("int")).over(so_far))
-    titles = read.where("titled is not null").groupBy("session_id").agg(F.max_by("titled", "line").alias("session_title"))
+    titles = read.where("titled is not null").groupBy("_by").agg(F.max_by("titled", "line").alias("session_title"))
     said = F.when(~F.col("asks") & (F.coalesce(F.col("said"), F.lit("")) != ""), F.struct("line", "said"))
     opening = lambda c: F.max(F.when(F.col("asks"), F.col(c)))
-    g = t.where("turn_no > 0").groupBy("session_id", "turn_no").agg(
+    g = t.where("turn_no > 0").groupBy("_by", "turn_no").agg(
         F.max("agent").alias("agent"),
-        opening("said").alias("question"),
+        opening("session_id").alias("session_id"), opening("said").alias("question"),
         F.array_join(F.transform(F.array_sort(F.collect_list(said)), lambda x: x["said"]), "\n").alias("answer"),
         opening("timestamp").alias("started"), opening("cwd").alias("cwd"), opening("git_branch").alias("branch"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("used")))).alias("tools"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("touched")))).alias("files"),
     )
-    g = g.join(titles, "session_id", "left").withColumns({"repo": repo_of(F.col("cwd")), "session_title": F.coalesce("session_title", F.lit(""))})
+    g = g.join(titles, "_by", "left").withColumns({"repo": repo_of(F.col("cwd")), "session_title": F.coalesce("session_title", F.lit(""))})
     return g.select("session_id", "turn_no", "agent", "question", "answer", "started", "cwd", "repo", "branch", "session_title", "tools", "files")
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.text import strip
+
 BATCH = 256
 
 
@@ -130,7 +132,7 @@ def session_records(spark: SparkSession, agent: str, root: str) -> DataFrame:
         cols = [stem, get("$.payload"), get("$.timestamp"), F.coalesce("_cwd", F.lit("")), F.coalesce("_branch", F.lit("")), F.lit(None).cast("boolean"), F.lit(None).cast("boolean"), null]
     else:
         project = F.split_part(F.col("path"), F.lit("/"), F.lit(1))
-        roots = raw_files(spark, root, "*/.project_root").select(F.split_part("path", F.lit("/"), F.lit(1)).alias("_p"), F.trim(text_of(F.col("content"))).alias("_root"))
+        roots = raw_files(spark, root, "*/.project_root").select(F.split_part("path", F.lit("/"), F.lit(1)).alias("_p"), strip(text_of(F.col("content"))).alias("_root"))
         r = r.withColumn("_p", project).join(roots, "_p", "left").where(get("$.content").isNotNull())
         cols = [stem, get("$.content"), get("$.timestamp"), F.coalesce("_root", "_p"), F.lit(""), F.lit(None).cast("boolean"), F.lit(None).cast("boolean"), get("$.toolCalls")]
     names = ["session_id", "content", "timestamp", "cwd", "git_branch", "is_meta", "is_sidechain", "toolCalls"]
