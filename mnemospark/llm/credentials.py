@@ -22,6 +22,8 @@ from ..session import table
 
 #: Most words the dictionary holds, by document frequency; a bound of the model, so that it can be sent to all tasks.
 DICTIONARY_WORDS = 30_000
+#: Least share of the distinct texts that hold a word, and their least number, which only counts in small corpora.
+WORD_SHARE, WORD_TEXTS = 0.0001, 5
 #: Unexplained characters from which a literal is a secret without any context.
 LONG_RESIDUAL = 14
 
@@ -75,6 +77,8 @@ _EXCLUDED = re.compile(
     r"sha\d{1,3}-[A-Za-z0-9+/=]+|ssh-[\w-]+ [A-Za-z0-9+/=]+|ecdsa-\S+ [A-Za-z0-9+/=]+|data:[\w/+.-]+;base64,[A-Za-z0-9+/=]*|-----BEGIN (?:PUBLIC KEY|CERTIFICATE|RSA PUBLIC KEY)-----.*?-----END [A-Z ]+-----|[a-z][a-z0-9+.-]*://\S+", re.S
 )
 _TRAILING = ".,;:?)]}'\"`>"
+# A literal with a letter after a digit, from its first character on; possessive, so that long runs are read once.
+_MIXED = r"(?<![^\s\"'`()<>\[\]{},;])[^\s\"'`()<>\[\]{},;0-9]*+[0-9][^\s\"'`()<>\[\]{},;A-Za-z]*+[A-Za-z][^\s\"'`()<>\[\]{},;]*+"
 
 
 class Words:
@@ -252,11 +256,18 @@ def _bare(before: str, literal: str, words: Words, found: dict[str, None]) -> No
 
 
 def dictionary(texts: DataFrame, column: str = "text") -> dict[str, int]:
-    """The commonest word parts of all texts with the number of texts that hold them, at most DICTIONARY_WORDS."""
-    parts = F.array_distinct(F.transform(F.regexp_extract_all(F.col(column), F.lit(r"([A-Z]?[a-z]{2,14}|[A-Z]{3,14})")), F.lower))
-    counts = texts.select(F.explode(parts).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.where((F.length("w") >= 3) & (F.col("n") >= 5)).orderBy(F.desc("n"), "w").limit(DICTIONARY_WORDS).collect()
-    return {r["w"]: r["n"] for r in rows}
+    """The commonest word parts of all texts with the number of distinct texts that hold them, at most DICTIONARY_WORDS.
+
+    A word stands in a share of the texts, so that random fragments don't become words as a corpus grows. Literals with
+    letters after digits are left out, as they are what the words are to judge, and copies count once.
+    """
+    plain = F.regexp_replace(F.col(column), F.lit(_MIXED), F.lit(" "))
+    parts = F.array_distinct(F.transform(F.regexp_extract_all(plain, F.lit(r"([A-Z]?[a-z]{2,14}|[A-Z]{3,14})")), F.lower))
+    marked = F.concat(F.array(F.lit("")), F.filter(parts, lambda w: F.length(w) >= 3))  # the blank word counts the texts
+    once = texts.where(F.col(column).isNotNull()).groupBy(F.md5(F.col(column).cast("binary")).alias("h")).agg(F.first(marked).alias("parts"))
+    counts = once.select(F.explode("parts").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= WORD_TEXTS)
+    rows = counts.orderBy(F.col("w") != "", F.desc("n"), "w").limit(DICTIONARY_WORDS + 1).collect()
+    return {r["w"]: r["n"] for r in rows[1:] if r["n"] >= WORD_SHARE * rows[0]["n"]}
 
 
 def extract(texts: DataFrame, counts: dict[str, int]) -> DataFrame:
@@ -305,13 +316,13 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, row_id, secret) of all documents and answers."""
     texts = _texts(spark, sf_dir)
-    return extract(texts, dictionary(table(spark, sf_dir, "documents")))
+    return extract(texts, dictionary(texts))
 
 
 def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, row_id, n_masked, n_chars) of every masked document and answer; re-delivered turns count once."""
     texts = _texts(spark, sf_dir)
-    out = redact(texts, dictionary(table(spark, sf_dir, "documents"))).where("n_masked > 0")
+    out = redact(texts, dictionary(texts)).where("n_masked > 0")
     return out.select("src", "row_id", "n_masked", F.length("masked").alias("n_chars")).distinct()
 
 

@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import base64
+import random
+import string
 
 import pytest
 
-from mnemospark.llm.credentials import Words, dictionary, extract, find_secrets, redact
+from mnemospark.llm.credentials import LONG_RESIDUAL, Words, dictionary, extract, find_secrets, redact
 
 W = Words({w: 100 for w in "harbor linen shadow config client factory signal shelf brick lotus load token value parse next stream the and for user pack river copper".split()})
 # secrets are put together here, so that none stands in the repository
@@ -56,3 +58,16 @@ def test_masking_keeps_what_is_around(spark):
 
 def W_counts():
     return {w: 100 for w in W.cost}
+
+
+def test_random_fragments_are_no_words_in_a_large_corpus(spark):
+    rng = random.Random(4)
+    pick = lambda n, k, of=string.ascii_letters + string.digits: ["".join(rng.choices(of, k=k)) for _ in range(n)]
+    rows = [(f"load the harbor config, LinenFactory2\nkey = '{' '.join(pick(5, 32))}'" + (f" # {pick(1, 16, string.ascii_letters)[0]}" if i % 10 == 0 else ""),) for i in range(40_000)]
+    rows += [("zebra quince",)] * 40_000  # copies of one text
+    counts = dictionary(spark.createDataFrame(rows, "text string"))
+    assert {"load", "the", "harbor", "config", "key", "factory"} <= counts.keys() and not {"zebra", "quince", ""} & counts.keys() and counts["harbor"] == 40_000
+    words = Words(counts)
+    for k in (24, 32, 40):
+        assert sum(words.residual(s)[0] < LONG_RESIDUAL for s in pick(500, k)) <= 2
+    assert dictionary(spark.createDataFrame([], "text string")) == {}
