@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 from datetime import UTC, datetime
+from functools import reduce
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ from .plans import render
 from .session import cut
 from .sources import files, git
 
+#: Directories whose commit logs one job reads; all are read, batch after batch.
+LOG_BATCH = 2_000
 STATE_PREFIX = {"claude": "agent", "codex": "codex", "gemini": "gemini"}
 
 
@@ -68,9 +72,7 @@ class MemoryEngine:
         t = t.withColumns(sessions.turn_columns())
         key = make_id("agent_turn", F.col("session_id"), F.col("t"), F.substring("question", 1, 120))
         t = cut(t.withColumn("id", key))
-        roots = [r["cwd"] for r in t.select("cwd").where("cwd <> ''").distinct().limit(10_000).collect()]
-        log = git.commit_log(self.spark, [r for r in roots if os.path.isdir(r)], all_branches=True)
-        log = log.withColumn("t", F.unix_micros("committed_at"))
+        log = self._commit_logs(t).withColumn("t", F.unix_micros("committed_at"))
         links = link_commits(t.select(F.col("id").alias("turn_id"), "cwd", "t", "files"), log, WINDOW_MIN)
         linked = links.groupBy("turn_id").agg(F.array_sort(F.collect_list(F.struct("rank", "short_sha", "subject", "kind"))).alias("l"))
         as_commits = F.transform("l", lambda x: F.struct(x["short_sha"].alias("hash"), x["subject"].alias("subject"), x["kind"].alias("kind")))
@@ -80,6 +82,13 @@ class MemoryEngine:
             "answer_summary", "branch", "cwd", "tools", "files", "session_title", "session_id", "commits", "agent",
         )
 
+    def _commit_logs(self, turns: DataFrame) -> DataFrame:
+        """The commits of every existing directory of ``turns``, read LOG_BATCH directories at a time."""
+        named = turns.select("cwd").where("cwd <> ''").distinct().toLocalIterator()
+        there = iter([r["cwd"] for r in named if os.path.isdir(r["cwd"])])
+        logs = [cut(git.commit_log(self.spark, part, all_branches=True)) for part in iter(lambda: list(islice(there, LOG_BATCH)), [])]
+        return reduce(DataFrame.unionAll, logs) if logs else git.commit_log(self.spark, [], all_branches=True)
+
     def index_code(self, repo_path: str, reindex: bool = False, prune: bool = True, ignore: str = "") -> dict[str, int]:
         """Indexes the tracked files of a repository whose content changed; {files, chunks, skipped, pruned}."""
         repo = os.path.basename(os.path.realpath(repo_path))

@@ -72,6 +72,18 @@ def test_end_to_end(spark, tmp_path, repo):
     assert e.reset() == 0 or e.documents().isEmpty()
 
 
+def test_commit_logs_of_all_directories(spark, tmp_path, repo, monkeypatch):
+    r, run = repo
+    (tmp_path / "plain").mkdir()
+    turns = spark.range(10_050).select(F.concat(F.lit("/nowhere/"), "id").alias("cwd"))
+    turns = turns.unionAll(spark.createDataFrame([(str(r),), (str(r),), (str(tmp_path / "plain"),), ("",), (None,)], "cwd string"))
+    e = MemoryEngine(spark, str(tmp_path / "home"))
+    for batch in (1, 2_000):
+        monkeypatch.setattr("mnemospark.engine.LOG_BATCH", batch)
+        assert [(x["cwd"], x["subject"]) for x in e._commit_logs(turns).collect()] == [(str(r), "Add zebra handling")]
+    assert e._commit_logs(turns.limit(0)).count() == 0
+
+
 def test_store_versions(spark, tmp_path):
     e = MemoryEngine(spark, str(tmp_path / "h"), masked=False)
     docs = lambda *rows: spark.createDataFrame(list(rows), "id string, source_type string, repo string, path string, title string, text string, version long")
