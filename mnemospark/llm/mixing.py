@@ -25,6 +25,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Blocks of each source and output shards of a mixture; fixed numbers, whatever the input.
 BLOCKS, SHARDS = 512, 16
+#: Most plan rows and most sources of all plans; more raise, as they would not fit the driver.
+PLAN_ROWS, PLAN_SOURCES = 100_000, 1_000
 SEED = 7
 
 
@@ -67,16 +69,21 @@ def mixture(tokens: DataFrame, plans: DataFrame) -> DataFrame:
     ``tokens``: (source, doc_id, tokens); ``plans``: (plan, source, target_share, max_repeats). The total is the
     largest for which no source with a share needs a document more often than its cap. A source with share 0 or NULL,
     a cap below 1 or no documents has no rows (and in the latter cases the plan has none, as its shares can't be met);
-    repeated plan rows count once. A source's last block is used up to the document that reaches the quota.
+    repeated plan rows count once; too many plan rows or sources raise ValueError. A source's last block is used up to the document that reaches the quota.
     """
     spark = tokens.sparkSession
-    blocked = cut(tokens.select("source", "doc_id", "tokens", F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(BLOCKS)).cast("int").alias("block")))
-    sums = {(r["source"], r["block"]): r["n"] for r in blocked.groupBy("source", "block").agg(F.sum("tokens").alias("n")).limit(BLOCKS * 1000).collect()}
-    rows = plans.select("plan", F.lower(F.trim("source")).alias("source"), "target_share", "max_repeats").dropna().distinct()
+    rows = plans.select("plan", F.lower(F.trim("source")).alias("source"), "target_share", "max_repeats").dropna().distinct().limit(PLAN_ROWS + 1).collect()
     wanted: dict[str, dict[str, tuple[float, int]]] = {}
-    for r in rows.limit(100_000).collect():
+    for r in rows:
         if r["target_share"] > 0:
             wanted.setdefault(r["plan"], {})[r["source"]] = (r["target_share"], int(r["max_repeats"]))
+    used = sorted({s for of in wanted.values() for s in of})
+    if len(rows) > PLAN_ROWS or len(used) > PLAN_SOURCES:
+        raise ValueError(f"more than {PLAN_ROWS} plan rows or {PLAN_SOURCES} sources in plans")
+    named = F.broadcast(spark.createDataFrame([(s,) for s in used], "source string"))
+    hashed = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(BLOCKS)).cast("int").alias("block")
+    blocked = cut(tokens.join(named, "source", "left_semi").select("source", "doc_id", "tokens", hashed))
+    sums = {(r["source"], r["block"]): r["n"] for r in blocked.groupBy("source", "block").agg(F.sum("tokens").alias("n")).collect()}
     taken: list[tuple[str, int, str, int, int, float]] = []
     for plan in sorted(wanted):
         of = wanted[plan]

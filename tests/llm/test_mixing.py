@@ -32,6 +32,19 @@ def test_shares_and_caps(spark):
     assert M.mixture(T.limit(0), P).count() == 0 and M.mixture(T, P.limit(0)).count() == 0
 
 
+def test_sources_beyond_the_plans(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCKS", 2)
+    T = spark.range(30_000).selectExpr("concat('s', id % 1500) as source", "id as doc_id", "10L as tokens")
+    P = spark.createDataFrame([(f"p{k}", f"s{k}", 1.0, 1) for k in range(30)], "plan string, source string, target_share double, max_repeats long")
+    got = {r["plan"]: r["count"] for r in M.mixture(T, P).groupBy("plan").count().collect()}
+    assert got == {f"p{k}": 20 for k in range(30)}
+    for bound in ("PLAN_ROWS", "PLAN_SOURCES"):
+        with monkeypatch.context() as m:
+            m.setattr(M, bound, 29)
+            with pytest.raises(ValueError):
+                M.mixture(T, P)
+
+
 @pytest.mark.skipif(not os.path.exists(M.TOKENIZER), reason="no tokenizer files")
 def test_tokens(spark):
     rows = [(1, " Note ", "hello world", "x"), (2, "note", "", "x"), (3, None, "a", "x"), (4, "note", None, "x"), (5, "code", "a " * 100_000, "x"), (1, "note", "hello world", "x")]
