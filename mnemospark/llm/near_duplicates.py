@@ -1,10 +1,12 @@
 """Problem 3: groups of records whose word sets are alike, by a token-group matrix.
 
 Equal word sets are one record with copies. Similar sets are brought together by sorting on MinHash values and cut
-into groups of at most GROUP members, each with the union of its members' tokens. A set is compared with a group
-only if one of its rarest tokens (the prefix that any partner must share) is in a smaller or equal member's prefix at
-a place that leaves enough tokens behind it, and the group is opened only if the set's overlap with the union reaches
-the least overlap a partner needs. Links become groups by alternating large-star and small-star joins.
+into groups of at most GROUP members, each with the union of its members' tokens: a row of the matrix. Its columns are
+the members' rarest tokens, as many as any partner must share one of. A token in more than RARE sets is no column by
+itself, only together with a second one, so that no column grows with the collection: sets whose rare tokens all
+differ must share several of their next tokens, two of them of the same class. A set asks the matrix for the groups
+of its columns, and a group is opened only if the set's overlap with its union reaches the least overlap a partner
+needs. Tokens are 64-bit hashes of words. Links become groups by alternating large-star and small-star joins.
 """
 
 from __future__ import annotations
@@ -23,8 +25,12 @@ from ..session import cut, table
 
 THRESHOLD = 0.8
 GROUP = 32
-#: Counters of the frequency sketch that orders tokens; a fixed size, whatever the input.
-BUCKETS = 1 << 21
+#: Sets up to which a token is rare. Commoner tokens need no counts: they are columns in pairs, in order of their hash.
+RARE = 16
+#: Counters that tell rare tokens from others. Tokens that share one count as commoner, which costs columns, never links.
+BUCKETS, CHUNK = 1 << 22, 1 << 16
+#: Smaller sets' tokens per class of common tokens.
+CLASS_SIZE = 32
 _WORD = re.compile(r"\w+")
 
 
@@ -32,7 +38,7 @@ class _Ids(dict):
     def __missing__(self, w: str) -> int:
         if len(self) > 500_000:
             self.clear()
-        self[w] = h = xxhash.xxh32_intdigest(w.encode("utf-8", "replace"))
+        self[w] = h = xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace"))
         return h
 
 
@@ -43,11 +49,45 @@ def least_overlap(n: int, m: int = 0) -> int:
     return -(-4 * (n + m) // 9)
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted token arrays reach the threshold, exactly."""
-    if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
-        return False
-    return len(np.intersect1d(a, b, assume_unique=True)) >= least_overlap(len(a), len(b))
+def alike(t: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which of the sets that lie one after the other in ``flat`` reach the threshold with the sorted set ``t``, exactly."""
+    hits = t[np.minimum(np.searchsorted(t, flat), len(t) - 1)] == flat
+    common = np.add.reduceat(hits, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return 9 * common >= 4 * (len(t) + sizes)
+
+
+def _mixed(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+    x = (a ^ (np.uint64(b) if isinstance(b, int) else b)) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _classes(size: int) -> int:
+    """Classes of common tokens for pairs whose smaller set has ``size`` tokens: a power of two that grows with it."""
+    return 1 << max(0, (size // CLASS_SIZE).bit_length() - 1)
+
+
+def columns(t: np.ndarray, counts: np.ndarray, smaller: bool) -> np.ndarray:
+    """The matrix columns of a set of tokens whose counters are ``counts``, as the ``smaller`` (or equal) set of a pair or the larger.
+
+    The smaller set shares at least 8/9 of its tokens, the larger 4/5, hence a token of the prefix that lacks one less.
+    If that is rare it is a column. Otherwise all common tokens are common words, and in prefixes longer by c the sets
+    share at least c + 1 of them, two of which fall in the same of c classes.
+    """
+    n = len(t)
+    order = np.lexsort((t, np.where(counts <= RARE, counts, RARE + 1)))
+    prefix = n - (-(-8 * n // 9) if smaller else least_overlap(n)) + 1
+    t, counts = t[order], counts[order]
+    rare = int(np.count_nonzero(counts <= RARE))
+    found = [_mixed(t[:prefix][(counts[:prefix] > 1) & (counts[:prefix] <= RARE)], 1)]  # a token of one set only links nothing
+    for c in {_classes(n)} if smaller else {_classes(n), _classes(least_overlap(n))}:
+        common = t[rare : prefix + c]
+        place = (common >> np.uint64(20)) % np.uint64(c)
+        for k in range(c):
+            of = common[place == k]
+            a, b = np.triu_indices(len(of), 1)
+            if len(a):
+                found.append(_mixed(_mixed(of[a], c + 1), of[b]))
+    return np.concatenate(found)
 
 
 def _token_sets(batches: Iterator[pd.DataFrame], with_tokens: bool) -> Iterator[pd.DataFrame]:
@@ -63,13 +103,16 @@ def _token_sets(batches: Iterator[pd.DataFrame], with_tokens: bool) -> Iterator[
             if not with_tokens:
                 rows.append((node, key))
                 continue
-            a = np.unique(np.fromiter((ids[w] for w in words), dtype=np.uint32, count=len(words)))
-            mixed = a.astype(np.uint64)
-            mins = [int(((mixed * np.uint64(m)) & np.uint64(0xFFFFFFFF)).min()) for m in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
-            rows.append((node, key, mins[0] * 2 + (node & 1), *mins[1:], a.view(np.int32)))
+            a = np.unique(np.fromiter((ids[w] for w in words), dtype=np.uint64, count=len(words)))
+            mins = [int((_mixed(a, m) >> np.uint64(32)).min()) for m in (1, 2, 3)]
+            rows.append((node, key, mins[0] * 2 + (node & 1), *mins[1:], a.view(np.int64)))
         yield pd.DataFrame(rows, columns=["node", "key"] + (["m1", "m2", "m3", "tokens"] if with_tokens else []))
 
 
+def _tokens(column: np.ndarray) -> np.ndarray:
+    return np.asarray(column, dtype=np.int64).view(np.uint64)
+
+
 def _cut_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows sorted by (m1, ...) as groups of neighbours. A member takes the label of the first earlier member of its own or
     the previous group that it is like, so that long runs of near-copies carry one label; memory holds two groups."""
@@ -79,9 +122,9 @@ def _cut_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def row() -> tuple:
         flat = np.concatenate([x[2] for x in now])
-        return now[0][0], [x[0] for x in now], [x[1] for x in now], [len(x[2]) for x in now], flat.view(np.int32)
+        return now[0][0], [x[0] for x in now], [x[1] for x in now], [len(x[2]) for x in now], flat.view(np.int64)
 
-    columns = ["gid", "sids", "labels", "sizes", "tokens"]
+    names = ["gid", "sids", "labels", "sizes", "tokens"]
     for b in batches:
         out = []
         for m1, sid, tokens in zip(b["m1"], b["sid"], b["tokens"], strict=True):
@@ -90,69 +133,97 @@ def _cut_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     out.append(row())
                 before = now if run == m1 else []
                 run, now = m1, []
-            t = np.asarray(tokens, dtype=np.int32).view(np.uint32)
-            label = next((x[1] for x in now + before if alike(t, x[2])), sid)
+            t, label = _tokens(tokens), sid
+            near = [x for x in now + before if 4 * len(t) <= 5 * len(x[2]) <= 6.25 * len(t)]
+            if near:
+                like = np.flatnonzero(alike(t, np.concatenate([x[2] for x in near]), np.array([len(x[2]) for x in near])))
+                label = near[like[0]][1] if len(like) else sid
             now.append((sid, label, t))
         if out:
-            yield pd.DataFrame(out, columns=columns)
+            yield pd.DataFrame(out, columns=names)
     if now:
-        yield pd.DataFrame([row()], columns=columns)
+        yield pd.DataFrame([row()], columns=names)
 
 
-def _frequencies(groups: DataFrame) -> np.ndarray:
-    """Counts (up to 255) of tokens over all sets in BUCKETS counters, merged in slots, so that the driver gets at most four sketches."""
-    top = np.iinfo(np.uint8).max
+def _rare_counts(groups: DataFrame) -> np.ndarray:
+    """For each of BUCKETS counters the number of sets with one of its tokens, RARE + 1 standing for more.
+
+    Tasks send their non-zero counters, which are summed in the JVM; the driver gets one byte of each.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(BUCKETS, dtype=np.int64)
+        total = np.zeros(BUCKETS, dtype=np.int32)
         for b in batches:
-            if len(b):
-                flat = np.concatenate([np.asarray(t, dtype=np.int32) for t in b["tokens"]]).view(np.uint32)
-                total += np.bincount(flat & np.uint32(BUCKETS - 1), minlength=BUCKETS)
-        yield pd.DataFrame({"sketch": [np.minimum(total, top).astype(np.uint8).tobytes()]})
+            for at in range(0, len(b), 1_000):
+                flat = np.concatenate([_tokens(t) for t in b["tokens"].iloc[at : at + 1_000]])
+                slot, n = np.unique(flat & np.uint64(BUCKETS - 1), return_counts=True)
+                total[slot.astype(np.int64)] += n.astype(np.int32)
+        slot = np.flatnonzero(total)
+        for at in range(0, len(slot), 100_000):
+            yield pd.DataFrame({"slot": slot[at : at + 100_000].astype(np.int32), "n": total[slot[at : at + 100_000]].astype(np.int64)})
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(CHUNK, dtype=np.uint8)
+        out[pdf["slot"].to_numpy() % CHUNK] = pdf["n"].to_numpy()
+        return pd.DataFrame({"chunk": [int(pdf["slot"].iloc[0]) // CHUNK], "bytes": [out.tobytes()]})
+
+    sums = groups.select("tokens").mapInPandas(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    sums = sums.where("n > 1").select("slot", F.least("n", F.lit(RARE + 1)).cast("int").alias("n"))
+    total = np.ones(BUCKETS, dtype=np.uint8)
+    for r in sums.groupBy(F.floor(F.col("slot") / CHUNK)).applyInPandas(pack, "chunk int, bytes binary").toLocalIterator():
+        total[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.maximum(np.frombuffer(bytes(r["bytes"]), np.uint8), 1)
+    return total
+
+
+def matrix(groups: DataFrame) -> DataFrame:
+    """(key, asks, id, label, low, high): the columns of every set as a question (its id and size) and of every group (its gid,
+    the sizes of its members in the column and their label, -1 if they have several)."""
+    counts = groups.sparkSession.sparkContext.broadcast(_rare_counts(groups))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df = counts.value
+        names = ["key", "asks", "id", "label", "low", "high"]
+        for b in batches:
+            parts: list[list] = []
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(BUCKETS, dtype=np.int64)
-        for s in pdf["sketch"]:
-            total += np.frombuffer(s, dtype=np.uint8)
-        return pd.DataFrame({"sketch": [np.minimum(total, top).astype(np.uint8).tobytes()]})
+            def add(key: np.ndarray, *values) -> None:
+                parts.append([key, *(np.full(len(key), v) if np.isscalar(v) else v for v in values)])  # noqa: B023
 
-    parts = groups.select("tokens").mapInPandas(count, "sketch binary")
-    total = np.zeros(BUCKETS, dtype=np.int64)
-    for r in parts.withColumn("slot", F.spark_partition_id() % 4).groupBy("slot").applyInPandas(merge, "sketch binary").toLocalIterator():
-        total += np.frombuffer(bytes(r["sketch"]), dtype=np.uint8)
-    return np.minimum(total, top).astype(np.uint8)
+            for gid, sids, labels, sizes, flat in zip(*(b[c] for c in b.columns), strict=True):
+                flat, held = _tokens(flat), []
+                f = df[(flat & np.uint64(BUCKETS - 1)).astype(np.int64)]
+                for k, (sid, n, end) in enumerate(zip(sids, sizes, np.cumsum(sizes), strict=True)):
+                    t, c = flat[end - n : end], f[end - n : end]
+                    key = _mixed(columns(t, c, False), int(sid) & 1).view(np.int64)
+                    if len(key):
+                        add(key, True, sid, labels[k], n, n)
+                    key = _mixed(columns(t, c, True), int(sid) & 1).view(np.int64)
+                    if len(key):
+                        held.append((key, np.full(len(key), k)))
+                if len(held) == 1:
+                    k = held[0][1][0]
+                    add(held[0][0], False, gid, labels[k], sizes[k], sizes[k])
+                elif held:
+                    key, k = (np.concatenate(x) for x in zip(*held, strict=True))
+                    order = np.argsort(key, kind="stable")
+                    key, k = key[order], k[order]
+                    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                    of, size = np.asarray(labels)[k], np.asarray(sizes)[k]
+                    low, top = np.minimum.reduceat(of, first), np.maximum.reduceat(of, first)
+                    add(key[first], False, gid, np.where(low == top, low, -1), np.minimum.reduceat(size, first), np.maximum.reduceat(size, first))
+            if parts:
+                yield pd.DataFrame({n: np.concatenate(x) for n, x in zip(names, zip(*parts, strict=True), strict=True)})
+
+    return groups.mapInPandas(run, "key long, asks boolean, id long, label long, low int, high int")
 
 
 def _pairs(groups: DataFrame) -> DataFrame:
-    """(sid, gid) of sets and groups with a smaller or equal member of another label that may be alike."""
-    counts = groups.sparkSession.sparkContext.broadcast(_frequencies(groups))
-
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df = counts.value
-        for b in batches:
-            cols: list[list[np.ndarray]] = [[] for _ in range(6)]
-            for gid, sids, labels, sizes, flat in zip(*(b[c] for c in b.columns), strict=True):
-                flat = np.asarray(flat, dtype=np.int32).view(np.uint32)
-                for sid, label, n, end in zip(sids, labels, sizes, np.cumsum(sizes), strict=True):
-                    t = flat[end - n : end]
-                    f = df[t & np.uint32(BUCKETS - 1)]
-                    order = np.lexsort((t, f))[: n - least_overlap(int(n)) + 1]
-                    place = np.flatnonzero(f[order] > 1)  # a token of one set only links nothing
-                    t = t[order[place]].astype(np.int64) * 2 + (sid & 1)
-                    for c, x in zip(cols, (t, np.full(len(t), sid), np.full(len(t), label), np.full(len(t), gid), np.full(len(t), n), place), strict=True):
-                        c.append(x)
-            if cols[0]:
-                yield pd.DataFrame(dict(zip(["key", "sid", "label", "gid", "n", "pos"], map(np.concatenate, cols), strict=True)))
-
-    p = groups.mapInPandas(prefixes, "key long, sid long, label long, gid long, n int, pos int")
-    q = p.select("key", "sid", "label", "n", "pos")
-    held = p.where(F.col("pos") < F.col("n") - F.ceil(F.col("n") * 8 / 9) + 1)
-    held = held.select("key", F.col("sid").alias("osid"), F.col("label").alias("olabel"), "gid", F.col("n").alias("m"), F.col("pos").alias("opos"))
-    size = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("osid") < F.col("sid")))
-    size = size & (F.col("m") * 5 >= F.col("n") * 4) & (F.col("label") != F.col("olabel"))
-    behind = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("opos"))
-    return q.join(held, "key").where(size & (behind * 9 >= (F.col("n") + F.col("m")) * 4)).select("sid", "gid").distinct()
+    """(sid, gid) of sets and groups that share a column and have a smaller or equal member of another label in it."""
+    m = cut(matrix(groups))
+    q = m.where("asks").select("key", F.col("id").alias("sid"), "label", F.col("low").alias("n"))
+    held = m.where("not asks").select("key", F.col("id").alias("gid"), F.col("label").alias("olabel"), "low", "high")
+    fits = (F.col("low") <= F.col("n")) & (F.col("high") * 5 >= F.col("n") * 4) & (F.col("label") != F.col("olabel"))
+    return q.join(held, "key").where(fits).select("sid", "gid").distinct()
 
 
 def _links(groups: DataFrame) -> DataFrame:
@@ -166,15 +237,14 @@ def _links(groups: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for sid, label, query, sids, labels, sizes, flat in zip(*(b[c] for c in b.columns), strict=True):
-                query = np.asarray(query, dtype=np.int32).view(np.uint32)
-                flat = np.asarray(flat, dtype=np.int32).view(np.uint32)
-                if np.isin(query, flat, kind="sort").sum() < least_overlap(len(query)):
-                    continue
+                query, flat, sizes = _tokens(query), _tokens(flat), np.asarray(sizes, dtype=np.int64)
+                if np.isin(query, flat).sum() < least_overlap(len(query)):
+                    continue  # the union bounds the overlap with every member
                 done = {label}
-                for other, olabel, n, end in zip(sids, labels, sizes, np.cumsum(sizes), strict=True):
-                    if olabel not in done and alike(query, flat[end - n : end]):
-                        done.add(olabel)
-                        rows.append((sid, other))
+                for k in np.flatnonzero(alike(query, flat, sizes)):
+                    if labels[k] not in done:
+                        done.add(labels[k])
+                        rows.append((sid, sids[k]))
             yield pd.DataFrame(rows, columns=["a", "b"])
 
     return asked.select("sid", "label", "query", "sids", "labels", "sizes", "tokens").mapInPandas(verify, "a long, b long")
@@ -182,11 +252,11 @@ def _links(groups: DataFrame) -> DataFrame:
 
 def _grouped(r: DataFrame) -> DataFrame:
     """The groups of the distinct word sets of ``r`` (node, text), written once."""
-    sets = r.mapInPandas(lambda b: _token_sets(b, True), "node long, key binary, m1 long, m2 long, m3 long, tokens array<int>")
+    sets = r.mapInPandas(lambda b: _token_sets(b, True), "node long, key binary, m1 long, m2 long, m3 long, tokens array<long>")
     one = sets.groupBy("key").agg(F.min("node").alias("sid"), F.first(F.struct("m1", "m2", "m3", "tokens")).alias("x")).select("sid", "x.*")
     order = ["m1", "m2", "m3", "sid"]
     rows = one.repartitionByRange(*order).sortWithinPartitions(*order).select("m1", "sid", "tokens")
-    return cut(rows.mapInPandas(_cut_groups, "gid long, sids array<long>, labels array<long>, sizes array<int>, tokens array<int>"))
+    return cut(rows.mapInPandas(_cut_groups, "gid long, sids array<long>, labels array<long>, sizes array<int>, tokens array<long>"))
 
 
 def near_duplicate_groups(records: DataFrame) -> DataFrame:
@@ -222,4 +292,19 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found}
-SQL: dict[str, str] = {}
+_FOLD = "regexp_extract_all(replace(lower(t), '\u0130', 'i\u0307'), '[\\p{L}\\p{N}_]+')"
+SQL = {
+    "p3_found": f"""
+WITH RECURSIVE r AS (SELECT 'doc' AS src, doc_id AS id, text AS t FROM documents WHERE text IS NOT NULL UNION SELECT 'turn', turn_id, question FROM turns WHERE question IS NOT NULL),
+     s AS (SELECT src, id, list_sort(list_distinct({_FOLD})) AS ws FROM r),
+     u AS (SELECT src, min(id) AS sid, ws, len(ws) AS n FROM s WHERE len(ws) > 0 GROUP BY src, ws),
+     w AS (SELECT src, sid, n, unnest(ws) AS w FROM u),
+     c AS (SELECT a.src, a.sid AS a, b.sid AS b FROM w a JOIN w b ON a.src = b.src AND a.w = b.w AND a.sid < b.sid AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+           GROUP BY a.src, a.sid, b.sid, a.n, b.n HAVING 9 * count(*) >= 4 * (a.n + b.n)),
+     k AS (SELECT u.src, u.sid AS a, s.id AS b FROM u JOIN s ON u.src = s.src AND u.ws = s.ws AND u.sid <> s.id),
+     e AS (SELECT * FROM c UNION SELECT * FROM k),
+     ends AS (SELECT src, a, b FROM e UNION SELECT src, b, a FROM e),
+     reach AS (SELECT DISTINCT src, a AS id, a AS g FROM ends UNION SELECT reach.src, ends.b, reach.g FROM reach JOIN ends ON ends.src = reach.src AND ends.a = reach.id)
+SELECT src, id AS row_id, min(g) AS group_id FROM reach GROUP BY src, id
+"""
+}

@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
+
 from mnemospark.llm import near_duplicates as N
 
 
@@ -57,3 +59,30 @@ def test_bounds():
             least = N.least_overlap(n, m)
             assert 5 * least >= 4 * (n + m - least) and 5 * (least - 1) < 4 * (n + m - least + 1)
         assert N.least_overlap(n) == min(o for o in range(n + 1) if 5 * o >= 4 * n)
+
+
+def test_alike_sets_share_a_column():
+    rng = np.random.default_rng(3)
+    for case in range(600):
+        m = int(rng.integers(4, 400))
+        n = min(int(m * rng.uniform(1, 1.25)), 5 * m // 4)
+        common = N.least_overlap(n, m)
+        if common > m:
+            continue
+        pool = rng.choice(1 << 62, size=n + m - common, replace=False).astype(np.uint64)
+        a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[:common], pool[n:]]))
+        share = rng.choice([0.0, 0.1, 0.5, 1.0])  # of rare tokens
+        counts = {int(t): int(rng.integers(2, N.RARE + 1)) if rng.random() < share else N.RARE + 1 for t in pool}
+        of = lambda t: np.array([counts[int(x)] for x in t], dtype=np.uint8)  # noqa: B023, E731
+        x, y = N.columns(a, of(a), False), N.columns(b, of(b), True)
+        assert set(x.tolist()) & set(y.tolist()), (case, n, m, share)
+        assert len(x) <= 8 * n + 100  # columns grow with the set, not with its square
+
+
+def test_alike_is_exact():
+    rng = random.Random(5)
+    for _ in range(300):
+        sets = [np.array(sorted(rng.sample(range(40), rng.randrange(1, 30))), dtype=np.uint64) for _ in range(4)]
+        got = N.alike(sets[0], np.concatenate(sets[1:]), np.array([len(x) for x in sets[1:]]))
+        t = set(sets[0].tolist())
+        assert got.tolist() == [5 * len(t & set(x.tolist())) >= 4 * len(t | set(x.tolist())) for x in sets[1:]]
