@@ -1,12 +1,13 @@
 """Problem 3: groups of records whose word sets are alike, by a token-group matrix.
 
-Equal word sets are one record with copies. Similar sets are brought together by sorting on MinHash values and cut
-into groups of at most GROUP members, each with the union of its members' tokens: a row of the matrix. Its columns are
-the members' rarest tokens, as many as any partner must share one of. A token in more than RARE sets is no column by
-itself, only together with a second one, so that no column grows with the collection: sets whose rare tokens all
-differ must share several of their next tokens, two of them of the same class. A set asks the matrix for the groups
-of its columns, and a group is opened only if the set's overlap with its union reaches the least overlap a partner
-needs. Tokens are 64-bit hashes of words. Links become groups by alternating large-star and small-star joins.
+Equal word sets are one record with copies. Similar sets are brought together by sorting on MinHash values and put
+into groups of at most GROUP members that are alike, each with the union of its members' tokens: a row of the matrix.
+Its columns are the members' rarest tokens, as many as any partner must share one of. A token in more than RARE sets
+is no column by itself, only together with a second one, so that no column grows with the collection: sets whose rare
+tokens all differ must share several of their next tokens, two of them of the same class. A set asks the matrix for the
+groups of its columns. A bit map of the union bounds the overlap first; groups that pass are opened if the set's
+overlap with the union itself reaches the least a partner needs, and then members are compared. Tokens are 64-bit
+hashes of words. Links become groups by alternating large-star and small-star joins.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -25,10 +26,14 @@ from ..session import cut, table
 
 THRESHOLD = 0.8
 GROUP = 32
-#: Sets up to which a token is rare. Commoner tokens need no counts: they are columns in pairs, in order of their hash.
+#: Sets up to which a token is rare; commoner ones are columns in pairs only.
 RARE = 16
-#: Counters that tell rare tokens from others. Tokens that share one count as commoner, which costs columns, never links.
+#: Counters that order tokens by the sets they are in. Tokens that share one count as commoner, which costs columns, never links.
 BUCKETS, CHUNK = 1 << 22, 1 << 16
+#: Longs of a union's bit map, and counters (bits) that tell which columns the matrix has.
+MAP, KNOWN = 8, 1 << 25
+#: Links asked for up to which they are sent to all tasks (16 bytes each) rather than joined by shuffles.
+SENT_PAIRS = 400_000
 #: Smaller sets' tokens per class of common tokens.
 CLASS_SIZE = 32
 _WORD = re.compile(r"\w+")
@@ -67,14 +72,14 @@ def _classes(size: int) -> int:
 
 
 def columns(t: np.ndarray, counts: np.ndarray, smaller: bool) -> np.ndarray:
-    """The matrix columns of a set of tokens whose counters are ``counts``, as the ``smaller`` (or equal) set of a pair or the larger.
+    """The matrix columns of a set of tokens with the frequency codes ``counts``, as the ``smaller`` (or equal) set of a pair or the larger.
 
     The smaller set shares at least 8/9 of its tokens, the larger 4/5, hence a token of the prefix that lacks one less.
     If that is rare it is a column. Otherwise all common tokens are common words, and in prefixes longer by c the sets
     share at least c + 1 of them, two of which fall in the same of c classes.
     """
     n = len(t)
-    order = np.lexsort((t, np.where(counts <= RARE, counts, RARE + 1)))
+    order = np.lexsort((t, counts))
     prefix = n - (-(-8 * n // 9) if smaller else least_overlap(n)) + 1
     t, counts = t[order], counts[order]
     rare = int(np.count_nonzero(counts <= RARE))
@@ -114,23 +119,25 @@ def _tokens(column: np.ndarray) -> np.ndarray:
 
 
 def _cut_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (m1, ...) as groups of neighbours. A member takes the label of the first earlier member of its own or
-    the previous group that it is like, so that long runs of near-copies carry one label; memory holds two groups."""
+    """Rows sorted by (m1, ...) as groups of neighbours that are alike. A set takes the label of the first of the last GROUP
+    or more sets that it is like, so that long runs of near-copies carry one label; memory holds two times GROUP sets."""
     run = None
     before: list[tuple[int, int, np.ndarray]] = []
     now: list[tuple[int, int, np.ndarray]] = []
 
-    def row() -> tuple:
-        flat = np.concatenate([x[2] for x in now])
-        return now[0][0], [x[0] for x in now], [x[1] for x in now], [len(x[2]) for x in now], flat.view(np.int64)
+    def rows() -> Iterator[tuple]:
+        classes: dict[int, list] = {}
+        for x in now:
+            classes.setdefault(x[1], []).append(x)
+        for label, m in classes.items():
+            yield m[0][0], label, [x[0] for x in m], [len(x[2]) for x in m], np.concatenate([x[2] for x in m]).view(np.int64)
 
-    names = ["gid", "sids", "labels", "sizes", "tokens"]
+    names = ["gid", "label", "sids", "sizes", "tokens"]
     for b in batches:
         out = []
         for m1, sid, tokens in zip(b["m1"], b["sid"], b["tokens"], strict=True):
             if run != m1 or len(now) >= GROUP:
-                if now:
-                    out.append(row())
+                out += rows()
                 before = now if run == m1 else []
                 run, now = m1, []
             t, label = _tokens(tokens), sid
@@ -142,112 +149,128 @@ def _cut_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if out:
             yield pd.DataFrame(out, columns=names)
     if now:
-        yield pd.DataFrame([row()], columns=names)
+        yield pd.DataFrame(list(rows()), columns=names)
 
 
-def _rare_counts(groups: DataFrame) -> np.ndarray:
-    """For each of BUCKETS counters the number of sets with one of its tokens, RARE + 1 standing for more.
+def _packed(sums: DataFrame, size: int, fill: int) -> np.ndarray:
+    """One byte for each of ``size`` counters from ``sums`` (slot, n) with n below 256; the driver gets CHUNK of them at a time."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.full(CHUNK, fill, dtype=np.uint8)
+        out[pdf["slot"].to_numpy() % CHUNK] = pdf["n"].to_numpy()
+        return pd.DataFrame({"chunk": [int(pdf["slot"].iloc[0]) // CHUNK], "bytes": [out.tobytes()]})
+
+    total = np.full(size, fill, dtype=np.uint8)
+    for r in sums.groupBy(F.floor(F.col("slot") / CHUNK)).applyInPandas(pack, "chunk int, bytes binary").toLocalIterator():
+        total[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(bytes(r["bytes"]), np.uint8)
+    return total
 
-    Tasks send their non-zero counters, which are summed in the JVM; the driver gets one byte of each.
-    """
+
+def _rare_counts(groups: DataFrame) -> np.ndarray:
+    """For each of BUCKETS counters a code of the number n of sets with one of its tokens: n up to RARE, beyond it RARE
+    and eight times the binary logarithm of n / RARE, which a byte holds up to n = 10^10. Tasks send their non-zero
+    counters, which are summed in the JVM."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(BUCKETS, dtype=np.int32)
         for b in batches:
-            for at in range(0, len(b), 1_000):
-                flat = np.concatenate([_tokens(t) for t in b["tokens"].iloc[at : at + 1_000]])
+            for at in range(0, len(b), 2_000):
+                flat = np.concatenate([_tokens(t) for t in b["tokens"].iloc[at : at + 2_000]])
                 slot, n = np.unique(flat & np.uint64(BUCKETS - 1), return_counts=True)
                 total[slot.astype(np.int64)] += n.astype(np.int32)
         slot = np.flatnonzero(total)
         for at in range(0, len(slot), 100_000):
             yield pd.DataFrame({"slot": slot[at : at + 100_000].astype(np.int32), "n": total[slot[at : at + 100_000]].astype(np.int64)})
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(CHUNK, dtype=np.uint8)
-        out[pdf["slot"].to_numpy() % CHUNK] = pdf["n"].to_numpy()
-        return pd.DataFrame({"chunk": [int(pdf["slot"].iloc[0]) // CHUNK], "bytes": [out.tobytes()]})
-
     sums = groups.select("tokens").mapInPandas(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    sums = sums.where("n > 1").select("slot", F.least("n", F.lit(RARE + 1)).cast("int").alias("n"))
-    total = np.ones(BUCKETS, dtype=np.uint8)
-    for r in sums.groupBy(F.floor(F.col("slot") / CHUNK)).applyInPandas(pack, "chunk int, bytes binary").toLocalIterator():
-        total[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.maximum(np.frombuffer(bytes(r["bytes"]), np.uint8), 1)
-    return total
+    code = F.when(F.col("n") <= RARE, F.col("n")).otherwise(F.least(F.lit(255), RARE + F.ceil(8 * F.log2(F.col("n") / RARE))))
+    return _packed(sums.where("n > 1").select("slot", code.cast("int").alias("n")), BUCKETS, 1)
 
 
-def matrix(groups: DataFrame) -> DataFrame:
-    """(key, asks, id, label, low, high): the columns of every set as a question (its id and size) and of every group (its gid,
-    the sizes of its members in the column and their label, -1 if they have several)."""
-    counts = groups.sparkSession.sparkContext.broadcast(_rare_counts(groups))
+def _bit_map(t: np.ndarray) -> list[int]:
+    bits = np.zeros(MAP * 64, dtype=np.uint8)
+    bits[((t >> np.uint64(40)) % np.uint64(MAP * 64)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64).tolist()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df = counts.value
-        names = ["key", "asks", "id", "label", "low", "high"]
-        for b in batches:
-            parts: list[list] = []
 
-            def add(key: np.ndarray, *values) -> None:
-                parts.append([key, *(np.full(len(key), v) if np.isscalar(v) else v for v in values)])  # noqa: B023
+def _matrix(groups: DataFrame, asks: bool, counts, known=None) -> DataFrame:
+    """The columns of every group (key, gid, label, low, high, bits: its members' label and sizes and its union's bit map), or,
+    if it ``asks``, those of every set that the matrix has (key, sid, label, n, bits)."""
+    names = ["key", "sid", "label", "n", "bits"] if asks else ["key", "gid", "label", "low", "high", "bits"]
 
-            for gid, sids, labels, sizes, flat in zip(*(b[c] for c in b.columns), strict=True):
-                flat, held = _tokens(flat), []
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df, bits = counts.value, None if known is None else known.value
+        for b in batches:
+            parts: list[tuple] = []
+            for gid, label, sids, sizes, flat in zip(*(b[c] for c in b.columns), strict=True):
+                flat = _tokens(flat)
                 f = df[(flat & np.uint64(BUCKETS - 1)).astype(np.int64)]
-                for k, (sid, n, end) in enumerate(zip(sids, sizes, np.cumsum(sizes), strict=True)):
-                    t, c = flat[end - n : end], f[end - n : end]
-                    key = _mixed(columns(t, c, False), int(sid) & 1).view(np.int64)
-                    if len(key):
-                        add(key, True, sid, labels[k], n, n)
-                    key = _mixed(columns(t, c, True), int(sid) & 1).view(np.int64)
-                    if len(key):
-                        held.append((key, np.full(len(key), k)))
-                if len(held) == 1:
-                    k = held[0][1][0]
-                    add(held[0][0], False, gid, labels[k], sizes[k], sizes[k])
-                elif held:
-                    key, k = (np.concatenate(x) for x in zip(*held, strict=True))
-                    order = np.argsort(key, kind="stable")
-                    key, k = key[order], k[order]
-                    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                    of, size = np.asarray(labels)[k], np.asarray(sizes)[k]
-                    low, top = np.minimum.reduceat(of, first), np.maximum.reduceat(of, first)
-                    add(key[first], False, gid, np.where(low == top, low, -1), np.minimum.reduceat(size, first), np.maximum.reduceat(size, first))
+                keys = []
+                for sid, n, end in zip(sids, sizes, np.cumsum(sizes), strict=True):
+                    t = flat[end - n : end]
+                    key = _mixed(columns(t, f[end - n : end], not asks), int(sid) & 1)
+                    if asks:
+                        slot = (key >> np.uint64(17)) % np.uint64(KNOWN)
+                        key = key[bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 == 1]
+                        if len(key):
+                            parts.append((key, sid, label, n, _bit_map(t)))
+                    elif len(key):
+                        keys.append(key)
+                if keys:
+                    key = np.unique(np.concatenate(keys))
+                    parts.append((key, gid, label, min(sizes), max(sizes), _bit_map(flat)))
             if parts:
-                yield pd.DataFrame({n: np.concatenate(x) for n, x in zip(names, zip(*parts, strict=True), strict=True)})
+                size = [len(x[0]) for x in parts]
+                out = {names[0]: np.concatenate([x[0] for x in parts]).view(np.int64)}
+                for k, name in enumerate(names[1:-1], 1):
+                    out[name] = np.repeat([x[k] for x in parts], size)
+                yield pd.DataFrame(out | {"bits": [x[-1] for x in parts for _ in range(len(x[0]))]})
+
+    types = {"n": "int", "low": "int", "high": "int", "bits": "array<long>"}
+    return groups.select("gid", "label", "sids", "sizes", "tokens").mapInPandas(run, ", ".join(f"{n} {types.get(n, 'long')}" for n in names))
+
 
-    return groups.mapInPandas(run, "key long, asks boolean, id long, label long, low int, high int")
+def candidates(groups: DataFrame) -> DataFrame:
+    """(key, sid, gid) of sets and groups of another label that share a column of the matrix, before any bound."""
+    return _shared(groups)[0].select("key", "sid", "gid")
 
 
-def _pairs(groups: DataFrame) -> DataFrame:
-    """(sid, gid) of sets and groups that share a column and have a smaller or equal member of another label in it."""
-    m = cut(matrix(groups))
-    q = m.where("asks").select("key", F.col("id").alias("sid"), "label", F.col("low").alias("n"))
-    held = m.where("not asks").select("key", F.col("id").alias("gid"), F.col("label").alias("olabel"), "low", "high")
-    fits = (F.col("low") <= F.col("n")) & (F.col("high") * 5 >= F.col("n") * 4) & (F.col("label") != F.col("olabel"))
-    return q.join(held, "key").where(fits).select("sid", "gid").distinct()
+def _shared(groups: DataFrame) -> tuple[DataFrame, Column]:
+    spark = groups.sparkSession
+    counts = spark.sparkContext.broadcast(_rare_counts(groups))
+    held = cut(_matrix(groups, False, counts))
+    slot = F.pmod(F.shiftrightunsigned("key", 17), F.lit(KNOWN))
+    byte = held.select(F.floor(slot / 8).cast("int").alias("slot"), F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (slot % 8 + 1).cast("int")).alias("bit"))
+    known = spark.sparkContext.broadcast(_packed(byte.groupBy("slot").agg(F.bit_or("bit").alias("n")), KNOWN // 8, 0))
+    asked = _matrix(groups, True, counts, known).withColumnsRenamed({"label": "own", "bits": "asking"})
+    lacking = sum((F.bit_count(F.get("asking", F.lit(k)).bitwiseAND(F.bitwise_not(F.get("bits", F.lit(k))))) for k in range(MAP)), F.lit(0))
+    fits = (F.col("low") <= F.col("n")) & (F.col("high") * 5 >= F.col("n") * 4) & (lacking * 5 <= F.col("n"))
+    return asked.join(held, "key").where(F.col("own") != F.col("label")), fits
 
 
 def _links(groups: DataFrame) -> DataFrame:
-    """(a, b) of links between members with different labels, enough to connect all that are connected."""
-    members = groups.select(F.posexplode("sids").alias("k", "sid"), "labels", "sizes", "tokens")
+    """(a, b) of links between sets of different labels, enough to connect all that are connected."""
+    shared, fits = _shared(groups)
+    pairs = cut(shared.where(fits).select("sid", "gid").distinct())
+    if pairs.count() <= SENT_PAIRS:
+        pairs = F.broadcast(pairs)
+    members = groups.select(F.posexplode("sids").alias("k", "sid"), "sizes", "tokens")
     start = F.aggregate(F.slice("sizes", F.lit(1), F.col("k")), F.lit(0), lambda a, x: a + x)
-    members = members.select("sid", F.get("labels", F.col("k")).alias("label"), F.slice("tokens", start + 1, F.get("sizes", F.col("k"))).alias("query"))
-    asked = cut(_pairs(groups)).join(members, "sid").join(groups, "gid")
+    asked = cut(members.join(pairs, "sid").select("sid", "gid", F.slice("tokens", start + 1, F.get("sizes", F.col("k"))).alias("query")))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for sid, label, query, sids, labels, sizes, flat in zip(*(b[c] for c in b.columns), strict=True):
-                query, flat, sizes = _tokens(query), _tokens(flat), np.asarray(sizes, dtype=np.int64)
+            for sid, query, sids, sizes, flat in zip(*(b[c] for c in b.columns), strict=True):
+                query, flat = _tokens(query), _tokens(flat)
                 if np.isin(query, flat).sum() < least_overlap(len(query)):
                     continue  # the union bounds the overlap with every member
-                done = {label}
-                for k in np.flatnonzero(alike(query, flat, sizes)):
-                    if labels[k] not in done:
-                        done.add(labels[k])
-                        rows.append((sid, sids[k]))
+                like = np.flatnonzero(alike(query, flat, np.asarray(sizes, dtype=np.int64)))
+                if len(like):
+                    rows.append((sid, sids[like[0]]))
             yield pd.DataFrame(rows, columns=["a", "b"])
 
-    return asked.select("sid", "label", "query", "sids", "labels", "sizes", "tokens").mapInPandas(verify, "a long, b long")
+    return groups.join(asked, "gid").select("sid", "query", "sids", "sizes", "tokens").mapInPandas(verify, "a long, b long")
 
 
 def _grouped(r: DataFrame) -> DataFrame:
@@ -256,7 +279,7 @@ def _grouped(r: DataFrame) -> DataFrame:
     one = sets.groupBy("key").agg(F.min("node").alias("sid"), F.first(F.struct("m1", "m2", "m3", "tokens")).alias("x")).select("sid", "x.*")
     order = ["m1", "m2", "m3", "sid"]
     rows = one.repartitionByRange(*order).sortWithinPartitions(*order).select("m1", "sid", "tokens")
-    return cut(rows.mapInPandas(_cut_groups, "gid long, sids array<long>, labels array<long>, sizes array<int>, tokens array<long>"))
+    return cut(rows.mapInPandas(_cut_groups, "gid long, label long, sids array<long>, sizes array<int>, tokens array<long>"))
 
 
 def near_duplicate_groups(records: DataFrame) -> DataFrame:
@@ -269,7 +292,7 @@ def near_duplicate_groups(records: DataFrame) -> DataFrame:
     node = F.col("row_id").cast("long") * 2 + F.when(F.col("src") == "turn", 1).otherwise(0)
     r = records.where("src in ('doc', 'turn') and row_id is not null and text is not null").select(node.alias("node"), "text")
     groups = _grouped(r)
-    near = groups.select(F.explode(F.arrays_zip("sids", "labels")).alias("z")).select(F.col("z.sids").alias("a"), F.col("z.labels").alias("b"))
+    near = groups.select(F.explode("sids").alias("a"), F.col("label").alias("b"))
     links = _links(groups).unionAll(near.where("a <> b"))
 
     keys = cut(r.mapInPandas(lambda b: _token_sets(b, False), "node long, key binary").distinct())
