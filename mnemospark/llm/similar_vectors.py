@@ -1,14 +1,20 @@
 """Problem 2: the most similar vectors of every vector, by collision-counting hashing.
 
-Each block of vectors is indexed by single projections, kept as sorted arrays. A query widens the windows centred
-on its own projections level by level (virtual rehashing: no table is built again), counts in how many windows each
-vector lies, and verifies those that exceed the collision threshold. It ends once the k-th best verified vector is
-nearer than the level's radius, where every nearer vector would have collided with high probability; the last level
-holds all vectors, so no query is left without its neighbours. Equal vectors are searched once.
+Vectors are partitioned into cells around centres fitted on a bounded sample; every vector is in the cell of its
+nearest centre. In a cell single projections are kept as sorted arrays. A query widens the windows centred on its own
+projections level by level (virtual rehashing: no table is built again), counts in how many windows each vector lies,
+and verifies those that exceed the collision threshold. It ends once the k-th best verified vector is nearer than the
+level's radius, where every nearer vector would have collided with high probability; the last level holds the whole
+cell. So each query first learns from its own cell how far its k-th neighbour is at most. That radius is the window
+on the projection that separates its cell from any other: only cells that the window reaches are asked, at that
+radius. Work therefore grows with the vectors in reached cells, not with the square of the collection. Equal vectors
+are searched once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,66 +24,81 @@ from ..session import cut, table
 
 NEIGHBOURS = 10
 #: Single-projection hashes, half width of a window at radius 1 and least share of the windows a candidate is in.
-PROJECTIONS, WIDTH, COLLIDING = 24, 0.9, 0.4
+PROJECTIONS, WIDTH, COLLIDING = 16, 1.2, 0.5
 #: Radii grow by this factor from level to level.
-GROWTH = 1.4
-#: Vectors that one task indexes and queries that it answers with them.
-BLOCK, QUERIES_AT_ONCE = 20_000, 6_000
+GROWTH = 1.5
+#: Half width, at radius 1, of the window on the projection between two cells' centres.
+REACH = 0.5
+#: Vectors a cell has on average, and those of a cell that one task holds or asks at once.
+CELL, BLOCK = 1_024, 4_096
+#: Components of all vectors that cells are fitted on (64 MB), and sampled vectors that a cell takes at least.
+SAMPLE_VALUES, PER_CELL = 1 << 24, 16
+#: Dimensions that cells are fitted for; a collection has one, or a few by model.
+FITTED = 16
 SEED = 20_240_601
 
 
-def search_block(data: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the ids and cosines of its ``k`` (or all, if fewer) best vectors of the block. Rows have length 1."""
+def search_block(data: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int, radii: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, cosine) of each query's ``k`` (or all, if fewer) best vectors of the block; with ``radii`` of its
+    candidates at that radius only. Rows have length 1."""
     n, dim = data.shape
     rng = np.random.default_rng(SEED)
     axes = rng.standard_normal((dim, PROJECTIONS))
-    projected = data @ axes
-    order = np.argsort(projected, axis=0, kind="stable").T.copy()
-    lines = np.take_along_axis(projected, order.T, axis=0).T.copy()
-    probe = rng.choice(n, size=min(n, 64), replace=False)
-    near = np.sort(np.sqrt(np.maximum(0, 2 - 2 * data[probe] @ data.T)), axis=1)[:, min(k, n - 1)]
-    radius = max(0.02, float(np.quantile(near, 0.1)))
+    projected, centres = data @ axes, queries @ axes
+    order = np.argsort(projected, axis=0, kind="stable")
+    lines = np.take_along_axis(projected, order, axis=0)
+    place = np.empty((PROJECTIONS, n), dtype=np.int32)
+    for i in range(PROJECTIONS):
+        place[i, order[:, i]] = np.arange(n)
     need = int(np.ceil(COLLIDING * PROJECTIONS))
-    centres = queries @ axes
-    results: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(queries)
-    for start in range(0, len(queries), 512):  # the counters of so many queries are kept between levels
-        pending = np.arange(start, min(start + 512, len(queries)))
-        counts = np.zeros((len(pending), n), dtype=np.uint8)
-        low = np.stack([np.searchsorted(line, centres[pending, i]) for i, line in enumerate(lines)])
-        high, r = low.copy(), radius
+    if radii is None:
+        probe = rng.choice(n, size=min(n, 64), replace=False)
+        near = np.sort(np.sqrt(np.maximum(0, 2 - 2 * data[probe] @ data.T)), axis=1)[:, min(k, n - 1)]
+        first = max(0.02, float(np.quantile(near, 0.4)))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    step = max(16, 1_000_000 // n)
+    for start in range(0, len(queries), step):
+        pending = np.arange(start, min(start + step, len(queries)))
+        r = np.full(len(pending), first) if radii is None else radii[pending]
         while len(pending):
-            last = r >= 2 or n <= k
-            if not last:
-                wide_low = np.stack([np.searchsorted(line, centres[pending, i] - WIDTH * r) for i, line in enumerate(lines)])
-                wide_high = np.stack([np.searchsorted(line, centres[pending, i] + WIDTH * r, side="right") for i, line in enumerate(lines)])
-            left = []
-            for j, q in enumerate(pending):
-                if last:
-                    found = np.arange(n)
-                else:  # only what the windows grew by is counted
-                    row = counts[q - start]
-                    grown = [order[i, a:b] for i, (a, b) in enumerate(zip(wide_low[:, j], low[:, j], strict=True)) if a < b]
-                    grown += [order[i, a:b] for i, (a, b) in enumerate(zip(high[:, j], wide_high[:, j], strict=True)) if a < b]
-                    if grown:
-                        row += np.bincount(np.concatenate(grown), minlength=n).astype(np.uint8)
-                    found = np.flatnonzero(row >= need)
-                if len(found) >= k or last:
-                    cosine = data[found] @ queries[q]
-                    top = np.lexsort((ids[found], -cosine))[:k] if len(found) <= 4 * k else _best(cosine, ids[found], k)
-                    if last or np.sqrt(max(0.0, 2 - 2 * cosine[top[-1]])) <= r:
-                        results[q] = ids[found[top]], cosine[top]
-                        continue
-                left.append(j)
-            if not last:
-                low, high = wide_low[:, left], wide_high[:, left]
-            pending, r = pending[left], r * GROWTH
-    return results
-
-
-def _best(cosine: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    bound = np.partition(cosine, -k)[-k]
-    at = np.flatnonzero(cosine >= bound)
-    return at[np.lexsort((ids[at], -cosine[at]))[:k]]
+            last = (r >= 2) | (n <= k)
+            counts = np.zeros((len(pending), n), dtype=np.uint8)
+            for i in range(PROJECTIONS):  # the window as places of the sorted array
+                low = np.searchsorted(lines[:, i], centres[pending, i] - WIDTH * r).astype(np.int32)
+                high = np.searchsorted(lines[:, i], centres[pending, i] + WIDTH * r, side="right").astype(np.int32)
+                counts += (place[i][None, :] - low[:, None]).view(np.uint32) < (high - low).view(np.uint32)[:, None]
+            q, at = np.nonzero((counts >= need) | last[:, None])
+            cosine = np.einsum("ij,ij->i", queries[pending[q]], data[at])
+            table = np.full((len(pending), n), -4.0)
+            table[q, at] = cosine
+            bound = np.partition(table, max(0, n - k), axis=1)[:, max(0, n - k)]
+            ended = last | (radii is not None) | (np.sqrt(np.maximum(0, 2 - 2 * bound)) <= r)
+            q, at = np.nonzero((table >= np.maximum(bound, -2)[:, None]) & ended[:, None])
+            c = table[q, at]
+            best = np.lexsort((ids[at], -c, q))
+            q, at, c = q[best], at[best], c[best]
+            rank = np.arange(len(q)) - np.searchsorted(q, q)
+            found.append((pending[q[rank < k]], ids[at[rank < k]], c[rank < k]))
+            pending, r = pending[~ended], r[~ended] * GROWTH
+    return tuple(np.concatenate([f[j] for f in found]) for j in range(3))
+
+
+def fit_cells(sample: np.ndarray, cells: int) -> np.ndarray:
+    """``cells`` centres of the rows of ``sample`` by a few rounds of k-means."""
+    centres = sample[np.random.default_rng(SEED).choice(len(sample), cells, replace=False)].copy()
+    for _ in range(8 if cells > 1 else 1):
+        home = nearest(sample, centres)[0]
+        order = np.argsort(home, kind="stable")
+        at, first = np.unique(home[order], return_index=True)
+        sums = np.add.reduceat(sample[order], first, axis=0)
+        centres[at] = sums / np.diff(np.append(first, len(order)))[:, None]
+    return centres
+
+
+def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of every row, and the squared distances to all but for the rows' own lengths."""
+    apart = (centres**2).sum(axis=1)[None, :] - 2 * (x @ centres.T)
+    return apart.argmin(axis=1), apart
 
 
 def nearest_vectors(vectors: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
@@ -85,7 +106,7 @@ def nearest_vectors(vectors: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
 
     ``vectors``: (vec_id, vec). NULL ids and vectors, vectors with a NULL or NaN component, of length 0 and rows that
     repeat an id count not at all or once; vectors of different dimension are never compared; with fewer than ``k``
-    others all are given. Other columns are dropped.
+    others all are given. Other columns are dropped. Cells are fitted for the FITTED commonest dimensions; any other is one cell.
     """
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vec").cast("array<float>").alias("vec")).dropna()
     v = v.where(F.exists("vec", lambda x: x != 0) & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x)))
@@ -93,25 +114,72 @@ def nearest_vectors(vectors: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     ranked = v.withColumn("r", F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))).where(F.col("r") <= k + 1)
     unique = ranked.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     unique = cut(unique.select(F.get("ids", F.lit(0)).alias("uid"), F.size("vec").alias("dim"), "vec", "ids"))
-    n = unique.count()
-    blocks, parts = max(1, -(-n // BLOCK)), max(1, -(-n // QUERIES_AT_ONCE))
-    place = lambda seed, of: F.pmod(F.xxhash64(F.lit(seed), "uid"), F.lit(of)).cast("int")
-    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
-    asked = unique.select("dim", place(1, parts).alias("q"), every(blocks).alias("d"), "uid", "vec", F.lit(True).alias("query"))
-    held = unique.select("dim", every(parts).alias("q"), place(2, blocks).alias("d"), "uid", "vec", F.lit(False).alias("query"))
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        is_query, ids = pdf["query"].to_numpy(), pdf["uid"].to_numpy()
-        data, queries = x[~is_query], x[is_query]
-        if not len(data) or not len(queries):
-            return pd.DataFrame({"uid": [], "other": [], "cosine": []}).astype({"uid": "int64", "other": "int64", "cosine": "float64"})
-        found = search_block(data, ids[~is_query], queries, k + 1)
-        size = [len(i) for i, _ in found]
-        return pd.DataFrame({"uid": np.repeat(ids[is_query], size), "other": np.concatenate([i for i, _ in found]), "cosine": np.concatenate([c for _, c in found])})
-
-    pairs = asked.unionAll(held).groupBy("dim", "q", "d").applyInPandas(search, "uid long, other long, cosine double")
+    spark = vectors.sparkSession
+    sizes = {r["dim"]: r["n"] for r in unique.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(FITTED).collect()}
+    fitted: dict[int, np.ndarray] = {}
+    first = 0
+    for dim, n in sizes.items():
+        sample = unique.where(F.col("dim") == dim).orderBy(F.xxhash64("uid")).limit(max(PER_CELL, SAMPLE_VALUES // len(sizes) // dim)).select("vec").toPandas()["vec"]
+        x = _unit(sample)
+        fitted[dim] = fit_cells(x, max(1, min(n // CELL, len(x) // PER_CELL)))
+    starts = dict(zip(fitted, np.cumsum([0, *(len(c) for c in fitted.values())]).tolist(), strict=False))
+    shared = spark.sparkContext.broadcast((fitted, starts))
+
+    def by_dim(b: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray | None, int]]:
+        centres, start = shared.value
+        for dim, part in b.groupby(b["vec"].map(len)):
+            yield part, _unit(part["vec"]), centres.get(dim), start.get(dim, -dim)  # a dimension without centres is one cell
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for part, x, centres, start in by_dim(b):
+                home = start + (nearest(x, centres)[0] if centres is not None else np.zeros(len(x), dtype=np.int64))
+                yield pd.DataFrame({"uid": part["uid"], "cell": home, "vec": part["vec"]})
+
+    celled = cut(unique.select("uid", "vec").mapInPandas(assign, "uid long, cell long, vec array<float>"))
+    parts = celled.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    data = celled.join(parts, "cell")
+
+    def asked(queries: DataFrame) -> DataFrame:
+        """(uid, other, cosine) for queries (uid, cell, vec, radius); a NULL radius searches level by level."""
+        q = queries.join(parts, "cell")
+        load = queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("askers"))
+        every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+        some = lambda seed, of: F.pmod(F.xxhash64(F.lit(seed), "uid"), F.col(of)).cast("int")
+        asking = q.join(load, "cell").select("cell", some(1, "askers").alias("q"), every("parts").alias("d"), "uid", "vec", "radius", F.lit(True).alias("query"))
+        held = data.join(load, "cell").select("cell", every("askers").alias("q"), some(2, "parts").alias("d"), "uid", "vec", F.lit(None).cast("double").alias("radius"), F.lit(False).alias("query"))
+
+        def search(pdf: pd.DataFrame) -> pd.DataFrame:
+            x, is_query, ids = _unit(pdf["vec"]).astype(np.float64), pdf["query"].to_numpy(), pdf["uid"].to_numpy()
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            if is_query.all() or not is_query.any():
+                return pd.DataFrame({"uid": [], "other": [], "cosine": []}).astype({"uid": "int64", "other": "int64", "cosine": "float64"})
+            radii = pdf["radius"].to_numpy(dtype=np.float64)[is_query]
+            q, other, cosine = search_block(x[~is_query], ids[~is_query], x[is_query], k + 1, None if np.isnan(radii).any() else radii)
+            return pd.DataFrame({"uid": ids[is_query][q], "other": other, "cosine": cosine})
+
+        return asking.unionAll(held).groupBy("cell", "q", "d").applyInPandas(search, "uid long, other long, cosine double")
+
+    def reached(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for part, x, centres, start in by_dim(b):
+                if centres is None or len(centres) < 2:
+                    continue
+                apart, home = nearest(x, centres)[1], part["cell"].to_numpy() - start
+                own = np.take_along_axis(apart, home[:, None], axis=1)
+                between = np.sqrt(np.maximum(1e-12, ((centres[home] ** 2).sum(axis=1)[:, None] + (centres**2).sum(axis=1)[None, :] - 2 * centres[home] @ centres.T)))
+                open_ = (apart - own) / (2 * between) <= REACH * part["radius"].to_numpy()[:, None]
+                open_[np.arange(len(x)), home] = False
+                q, c = np.nonzero(open_)
+                for at in range(0, len(q), 10_000):
+                    rows = q[at : at + 10_000]
+                    yield pd.DataFrame({"uid": part["uid"].to_numpy()[rows], "cell": start + c[at : at + 10_000], "vec": part["vec"].to_numpy()[rows], "radius": part["radius"].to_numpy()[rows]})
+
+    home = cut(asked(celled.withColumn("radius", F.lit(None).cast("double"))))
+    own = Window.partitionBy("uid").orderBy(F.desc("cosine"), "other")
+    far = home.withColumn("r", F.row_number().over(own)).where(F.col("r") == k + 1).select("uid", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("cosine"))).alias("radius"))
+    wide = celled.join(far, "uid", "left").select("uid", "cell", "vec", F.coalesce(F.col("radius"), F.lit(2.0)).alias("radius"))
+    pairs = home.unionAll(asked(cut(wide.mapInPandas(reached, "uid long, cell long, vec array<float>, radius double"))))
     best = Window.partitionBy("uid").orderBy(F.desc("cosine"), "other")
     pairs = pairs.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
     # each unique vector's partners as ids: its own copies first (cosine 1), then the copies of the others
@@ -125,6 +193,11 @@ def nearest_vectors(vectors: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     return out.select("vec_id", F.col("x.nbr_id").alias("nbr_id"), F.least(F.col("x.cosine"), F.lit(1.0)).alias("cosine"))
 
 
+def _unit(vectors: pd.Series) -> np.ndarray:
+    x = np.stack(vectors.to_numpy()).astype(np.float32) if len(vectors) else np.zeros((0, 1), dtype=np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id, nbr_id) of the ten most similar usable vectors of every usable vector."""
     usable = table(spark, sf_dir, "vectors").where(F.col("model_id") == "hash64-v1")

@@ -15,7 +15,8 @@ def brute(rows, k):
 
 def test_recall_and_ties(spark, monkeypatch):
     monkeypatch.setattr(V, "BLOCK", 300)
-    monkeypatch.setattr(V, "QUERIES_AT_ONCE", 200)
+    monkeypatch.setattr(V, "CELL", 100)
+    monkeypatch.setattr(V, "PER_CELL", 4)
     rng = np.random.default_rng(1)
     centres = rng.standard_normal((12, 24))
     rows = [(i, (centres[i % 12 if i % 3 else 0] + 0.4 * rng.standard_normal(24)).astype(np.float32).tolist()) for i in range(700)]
@@ -36,3 +37,13 @@ def test_few_and_none(spark):
     got = sorted((r["vec_id"], r["nbr_id"]) for r in V.nearest_vectors(df).collect())
     assert got == [(1, 2), (1, 3), (2, 1), (2, 3), (3, 1), (3, 2)]
     assert V.nearest_vectors(df.limit(0)).count() == 0
+
+
+def test_a_cell_is_searched_whole():
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((900, 32)) + 2 * rng.standard_normal((9, 32))[rng.integers(0, 9, 900)]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q, other, cosine = V.search_block(x, np.arange(900), x[:200], 5)
+    want = np.argsort(-(x[:200] @ x.T), axis=1, kind="stable")[:, :5]
+    assert len(q) == 1000 and np.mean([len(set(other[q == k]) & set(want[k])) for k in range(200)]) > 4.95
+    assert np.allclose(cosine, (x[q] * x[other]).sum(axis=1))
