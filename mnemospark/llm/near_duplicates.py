@@ -66,33 +66,43 @@ def _mixed(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _classes(size: int) -> int:
-    """Classes of common tokens for pairs whose smaller set has ``size`` tokens: a power of two that grows with it."""
-    return 1 << max(0, (size // CLASS_SIZE).bit_length() - 1)
+def _classes(sizes: np.ndarray) -> np.ndarray:
+    """Classes of common tokens for pairs whose smaller sets have ``sizes`` tokens: powers of two that grow with them."""
+    return np.left_shift(1, np.floor(np.log2(np.maximum(sizes // CLASS_SIZE, 1))).astype(np.int64))
 
 
-def columns(t: np.ndarray, counts: np.ndarray, smaller: bool) -> np.ndarray:
-    """The matrix columns of a set of tokens with the frequency codes ``counts``, as the ``smaller`` (or equal) set of a pair or the larger.
+def columns(flat: np.ndarray, counts: np.ndarray, sizes: np.ndarray, smaller: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(set, column) of the matrix columns of sets that lie one after the other in ``flat``, with the frequency codes
+    ``counts``, as the ``smaller`` (or equal) set of a pair or the larger.
 
     The smaller set shares at least 8/9 of its tokens, the larger 4/5, hence a token of the prefix that lacks one less.
     If that is rare it is a column. Otherwise all common tokens are common words, and in prefixes longer by c the sets
     share at least c + 1 of them, two of which fall in the same of c classes.
     """
-    n = len(t)
-    order = np.lexsort((t, counts))
-    prefix = n - (-(-8 * n // 9) if smaller else least_overlap(n)) + 1
-    t, counts = t[order], counts[order]
-    rare = int(np.count_nonzero(counts <= RARE))
-    found = [_mixed(t[:prefix][(counts[:prefix] > 1) & (counts[:prefix] <= RARE)], 1)]  # a token of one set only links nothing
-    for c in {_classes(n)} if smaller else {_classes(n), _classes(least_overlap(n))}:
-        common = t[rare : prefix + c]
-        place = (common >> np.uint64(20)) % np.uint64(c)
-        for k in range(c):
-            of = common[place == k]
-            a, b = np.triu_indices(len(of), 1)
-            if len(a):
-                found.append(_mixed(_mixed(of[a], c + 1), of[b]))
-    return np.concatenate(found)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((flat, counts, owner))
+    t, codes = flat[order], counts[order]
+    place = np.arange(len(t)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    prefix = sizes - (-(-8 * sizes // 9) if smaller else -(-4 * sizes // 5)) + 1
+    rare = (place < prefix[owner]) & (codes > 1) & (codes <= RARE)  # a token of one set only links nothing
+    sets, found = [owner[rare]], [_mixed(t[rare], 1)]
+    own, least = _classes(sizes), _classes(-(-4 * sizes // 5))
+    for classes, of in ((own, None),) if smaller else ((own, None), (least, least != own)):
+        c = classes[owner]
+        common = (codes > RARE) & (place < prefix[owner] + c)
+        if of is not None:
+            common &= of[owner]
+        o, x, c = owner[common], t[common], c[common]
+        kind = ((x >> np.uint64(20)) % c.astype(np.uint64)).astype(np.int64)
+        by = np.lexsort((kind, o))
+        o, x, c, kind = o[by], x[by], c[by], kind[by]
+        starts = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (kind[1:] != kind[:-1])])) if len(o) else np.zeros(0, np.int64)
+        behind = np.arange(len(o)) - np.repeat(starts, np.diff(np.append(starts, len(o))))  # each is paired with those before it
+        b = np.repeat(np.arange(len(o)), behind)
+        a = np.arange(len(b)) - np.repeat(np.cumsum(behind) - behind, behind) + b - behind[b]
+        sets.append(o[b])
+        found.append(_mixed(_mixed(x[a], c[b].astype(np.uint64) + np.uint64(1)), x[b]))
+    return np.concatenate(sets), np.concatenate(found)
 
 
 def _token_sets(batches: Iterator[pd.DataFrame], with_tokens: bool) -> Iterator[pd.DataFrame]:
@@ -187,47 +197,50 @@ def _rare_counts(groups: DataFrame) -> np.ndarray:
     return _packed(sums.where("n > 1").select("slot", code.cast("int").alias("n")), BUCKETS, 1)
 
 
-def _bit_map(t: np.ndarray) -> list[int]:
-    bits = np.zeros(MAP * 64, dtype=np.uint8)
-    bits[((t >> np.uint64(40)) % np.uint64(MAP * 64)).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.int64).tolist()
+def _bit_maps(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(sets x MAP) longs: the bit maps of sets that lie one after the other."""
+    bits = np.zeros((len(sizes), MAP * 64), dtype=np.uint8)
+    bits[np.repeat(np.arange(len(sizes)), sizes), ((flat >> np.uint64(40)) % np.uint64(MAP * 64)).astype(np.int64)] = 1
+    return np.packbits(bits, axis=1).view(np.int64)
 
 
 def _matrix(groups: DataFrame, asks: bool, counts, known=None) -> DataFrame:
-    """The columns of every group (key, gid, label, low, high, bits: its members' label and sizes and its union's bit map), or,
-    if it ``asks``, those of every set that the matrix has (key, sid, label, n, bits)."""
-    names = ["key", "sid", "label", "n", "bits"] if asks else ["key", "gid", "label", "low", "high", "bits"]
+    """The columns of every group (key, gid, label, low, high and the bit map of its union), or, if it ``asks``, those of
+    every set that the matrix has (key, sid, own, n and its bit map)."""
+    names = ["key", "sid", "own", "n"] if asks else ["key", "gid", "label", "low", "high"]
+    maps = [("q" if asks else "u") + str(k) for k in range(MAP)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, bits = counts.value, None if known is None else known.value
-        for b in batches:
-            parts: list[tuple] = []
-            for gid, label, sids, sizes, flat in zip(*(b[c] for c in b.columns), strict=True):
-                flat = _tokens(flat)
-                f = df[(flat & np.uint64(BUCKETS - 1)).astype(np.int64)]
-                keys = []
-                for sid, n, end in zip(sids, sizes, np.cumsum(sizes), strict=True):
-                    t = flat[end - n : end]
-                    key = _mixed(columns(t, f[end - n : end], not asks), int(sid) & 1)
-                    if asks:
-                        slot = (key >> np.uint64(17)) % np.uint64(KNOWN)
-                        key = key[bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 == 1]
-                        if len(key):
-                            parts.append((key, sid, label, n, _bit_map(t)))
-                    elif len(key):
-                        keys.append(key)
-                if keys:
-                    key = np.unique(np.concatenate(keys))
-                    parts.append((key, gid, label, min(sizes), max(sizes), _bit_map(flat)))
-            if parts:
-                size = [len(x[0]) for x in parts]
-                out = {names[0]: np.concatenate([x[0] for x in parts]).view(np.int64)}
-                for k, name in enumerate(names[1:-1], 1):
-                    out[name] = np.repeat([x[k] for x in parts], size)
-                yield pd.DataFrame(out | {"bits": [x[-1] for x in parts for _ in range(len(x[0]))]})
-
-    types = {"n": "int", "low": "int", "high": "int", "bits": "array<long>"}
-    return groups.select("gid", "label", "sids", "sizes", "tokens").mapInPandas(run, ", ".join(f"{n} {types.get(n, 'long')}" for n in names))
+        for whole in batches:
+            for at in range(0, len(whole), 1_000):
+                b = whole.iloc[at : at + 1_000]
+                flat = np.concatenate([_tokens(t) for t in b["tokens"]])
+                members = b["sizes"].map(len).to_numpy()
+                sizes, sids = np.concatenate(b["sizes"].to_list()).astype(np.int64), np.concatenate(b["sids"].to_list())
+                group = np.repeat(np.arange(len(b)), members)
+                owner, key = columns(flat, df[(flat & np.uint64(BUCKETS - 1)).astype(np.int64)], sizes, not asks)
+                key = _mixed(key, (sids[owner] & 1).astype(np.uint64))
+                if asks:
+                    slot = (key >> np.uint64(17)) % np.uint64(KNOWN)
+                    has = bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 == 1
+                    owner, key = owner[has], key[has]
+                    out = [key.view(np.int64), sids[owner], b["label"].to_numpy()[group[owner]], sizes[owner]]
+                    of = _bit_maps(flat, sizes)[owner]
+                else:
+                    owner, key = group[owner], key.view(np.int64)
+                    by = np.lexsort((key, owner))
+                    owner, key = owner[by], key[by]
+                    once = np.concatenate([[True], (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])]) if len(key) else np.zeros(0, bool)
+                    owner, key = owner[once], key[once]
+                    first = np.cumsum(members) - members
+                    out = [key, b["gid"].to_numpy()[owner], b["label"].to_numpy()[owner], np.minimum.reduceat(sizes, first)[owner], np.maximum.reduceat(sizes, first)[owner]]
+                    of = _bit_maps(flat, np.add.reduceat(sizes, first))[owner]
+                yield pd.DataFrame(dict(zip(names, out, strict=True)) | {n: of[:, k] for k, n in enumerate(maps)})
+
+    types = {"n": "int", "low": "int", "high": "int"}
+    schema = ", ".join(f"{n} {types.get(n, 'long')}" for n in names + maps)
+    return groups.select("gid", "label", "sids", "sizes", "tokens").mapInPandas(run, schema)
 
 
 def candidates(groups: DataFrame) -> DataFrame:
@@ -242,8 +255,8 @@ def _shared(groups: DataFrame) -> tuple[DataFrame, Column]:
     slot = F.pmod(F.shiftrightunsigned("key", 17), F.lit(KNOWN))
     byte = held.select(F.floor(slot / 8).cast("int").alias("slot"), F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (slot % 8 + 1).cast("int")).alias("bit"))
     known = spark.sparkContext.broadcast(_packed(byte.groupBy("slot").agg(F.bit_or("bit").alias("n")), KNOWN // 8, 0))
-    asked = _matrix(groups, True, counts, known).withColumnsRenamed({"label": "own", "bits": "asking"})
-    lacking = sum((F.bit_count(F.get("asking", F.lit(k)).bitwiseAND(F.bitwise_not(F.get("bits", F.lit(k))))) for k in range(MAP)), F.lit(0))
+    asked = _matrix(groups, True, counts, known)
+    lacking = sum((F.bit_count(F.col(f"q{k}").bitwiseAND(F.bitwise_not(F.col(f"u{k}")))) for k in range(MAP)), F.lit(0))
     fits = (F.col("low") <= F.col("n")) & (F.col("high") * 5 >= F.col("n") * 4) & (lacking * 5 <= F.col("n"))
     return asked.join(held, "key").where(F.col("own") != F.col("label")), fits
 

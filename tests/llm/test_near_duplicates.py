@@ -74,7 +74,9 @@ def test_alike_sets_share_a_column():
         share = rng.choice([0.0, 0.1, 0.5, 1.0])  # of rare tokens
         counts = {int(t): int(rng.integers(2, N.RARE + 1)) if rng.random() < share else N.RARE + 1 for t in pool}
         of = lambda t: np.array([counts[int(x)] for x in t], dtype=np.uint8)  # noqa: B023, E731
-        x, y = N.columns(a, of(a), False), N.columns(b, of(b), True)
+        other = np.sort(rng.choice(1 << 62, size=9, replace=False).astype(np.uint64))  # a set beside it changes nothing
+        s, x = N.columns(np.concatenate([other, a]), np.concatenate([np.full(9, 3, np.uint8), of(a)]), np.array([9, len(a)]), False)
+        x, y = x[s == 1], N.columns(b, of(b), np.array([len(b)]), True)[1]
         assert set(x.tolist()) & set(y.tolist()), (case, n, m, share)
         assert len(x) <= 8 * n + 100  # columns grow with the set, not with its square
 
