@@ -1,9 +1,10 @@
 """Problem 1: credentials in source, configuration, notes and answers, found by segmentation and redacted in place.
 
-A literal is segmented by Viterbi into words of a dictionary counted over all texts. What the words leave
-unexplained is the residual: long residuals are secrets wherever they stand, short ones only where an assignment,
-a header or a sentence names them a secret. Known formats of hashes, ids and public keys are excluded, and so are
-references, calls, placeholders and masks.
+A literal is segmented by Viterbi into words of a dictionary counted over all texts. The letters that no word covers,
+the digits and the marks that join no words are its residual. Long residuals are secrets wherever they stand, shorter
+ones only in a context: an assignment, argument, header, command or connection string whose key names a secret, or a
+sentence with such a noun near the literal. Known formats of hashes, ids and public keys are excluded, and so are
+references, calls and masks. A word alone that a key calls a password is a weak password, unless it is a placeholder.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import base64
 import binascii
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,8 +26,10 @@ from ..session import table
 DICTIONARY_WORDS = 30_000
 #: Least share of the distinct texts that hold a word, and their least number, which only counts in small corpora.
 WORD_SHARE, WORD_TEXTS = 0.0001, 5
-#: Unexplained characters from which a literal is a secret without any context.
-LONG_RESIDUAL = 14
+#: Residuals from which a literal is a secret without any context and in one.
+LONG_RESIDUAL, NAMED_RESIDUAL = 14, 3
+#: Characters before and after a literal in which a sentence must name a secret.
+BEFORE, AFTER = 60, 30
 
 # Name parts that make the value a secret, and those that take that back.
 _STEM = (
@@ -61,12 +65,15 @@ _TAG = re.compile(r"<([\w.:-]+)>([^<>\s]+)</\1>")
 _COMMAND = re.compile(
     rf"(?:IDENTIFIED\s+BY|WITH\s+PASSWORD|\bPASSWORD)\s+{_VALUE}|\bpassword\s+(\S+)\s*$|\bsshpass\s+-p\s*{_VALUE}|\bmysql\b[^\n]*?\s-p(\S+)|\bcurl\b[^\n]*?\s-u\s*[\"']?[^\s:\"']+:([^\s\"']+)", re.I
 )
-_SENTENCE = re.compile(
-    rf"(?i)(?:(?:{_STEM}|key|schlüssel)\s+(?:is|to|lautet|ist|es)(?:\s*:)?|log in as \S+ /|\bclave|계정 암호\s*:|비밀번호는|접속 토큰|암호는|contraseña\s*:?)\s+{_VALUE}"
+# Nouns and verbs of sentences that give a secret away; a literal is near one or is none.
+_NOUN = re.compile(
+    rf"(?i)(?<![a-z_/-])(?:{_STEM}|keys?|passcode|pin|log ?in|sign ?in|login|schlüssel|zugang|zugangsdaten|anmeld\w*|acceso|inicia\w* sesión|credenciales?|로그인|열쇠|접속)(?![a-z_/-])"
 )
-_USED = re.compile(rf"\b(?:Use|try|with|old:?)\s+{_VALUE}\s*(?:for the|if the call|only|$)")
+_QUOTED = re.compile(r"\"([^\"\s]+)\"|'([^'\s]+)'|`([^`\s]+)`|(?<![^\s(\[])([^\s\"'`()\[\]{}<>]+)")
+_KEY_PLACE = re.compile(r"\s*\]?\s*(?::|=(?!=))")
+_SENTENCE_END = re.compile(r"[.!?:;] ")
 # One of these is in every line that names a secret; case-folded texts are searched.
-_LINE_KEYS = re.compile(r"pass|pwd|[_-]pw|secret|token|key|auth|credential|conn|cert|contraseña|clave|암호|비밀번호|kennwort|토큰|identified|mysql|curl|log in as|schlüssel|\buse\b|\btry\b|\bwith\b|\bold\b")
+_LINE_KEYS = re.compile(r"pass|pwd|[_-]pw|secret|token|key|auth|credential|credencial|conn|cert|contraseña|clave|암호|비밀번호|kennwort|토큰|identified|mysql|curl|\bpin\b|\bpw\b|log ?in|sign ?in|schlüssel|zugang|anmeld|acceso|sesión|로그인|열쇠|접속")
 _BARE = re.compile(r"(?<![\w/+.~-])[A-Za-z0-9+/=_~.\-]{16,}")
 _DIGIT = re.compile(r"\d")
 _KNOWN = re.compile(
@@ -91,7 +98,7 @@ class Words:
         self.seen: dict[str, tuple[int, int]] = {}
 
     def residual(self, literal: str) -> tuple[int, int]:
-        """(characters of letters and digits left unexplained, number of words). Digit runs of up to five after a word count as explained."""
+        """(letters and digits that no word explains, number of words); up to five digits after a word are its number."""
         if literal in self.seen:
             return self.seen[literal]
         left = words = 0
@@ -130,25 +137,28 @@ def _bare_value(v: str) -> str:
     return v.rstrip(_TRAILING) if not v.endswith("=") else v
 
 
+def surprise(v: str, words: Words) -> int:
+    """The residual of a literal in a context: letters that no word covers, digits, marks that don't join words, and one
+    for words joined in no style of names (``Word-word``)."""
+    left, _ = words.residual(re.sub(r"\d", "", v))
+    return left + len(_DIGIT.findall(v)) + len(re.findall(r"[^\w.\-/: ]", v)) + bool(re.search(r"[A-Z][a-z]+[-_][a-z]", v))
+
+
 def _is_secret(v: str, quoted: bool, words: Words, named: str) -> bool:
     """Whether a literal in a context that names a secret is one. ``named``: the key, '' in sentences and commands."""
     if len(v) < 4 or " " in v.strip() or "\\n" in v or _PLACEHOLDER.match(v) or _REFERENCE.search(v) or _URL.match(v) or _HASHED.match(v) or _UUID.match(v):
         return False
-    if v.startswith(("ssh-", "/", "./", "-----")) or re.fullmatch(r"[\w./-]+\.(?:py|ts|go|kt|sql|sh|md|yaml|json|env|pem|key|txt)", v):
+    if v.startswith(("ssh-", "/", "./", "-----")) or re.fullmatch(r"[\w./-]+\.[a-z]{2,4}", v):
         return False
     if _KNOWN.match(v):
         return True
-    if re.fullmatch(r"[\d.,:]+", v):
-        return quoted and bool(re.search(r"(?i)pass|pwd|pin|pw$", named)) and len(v) >= 4
-    left, n = words.residual(v)
-    letters_only = re.fullmatch(r"[A-Za-z_.\-\[\]()]+", v)
-    if letters_only:
-        return left >= 8 and left >= 0.5 * len(v) if not quoted else left >= 6 or (n == 1 and left == 0 and bool(re.search(r"(?i)pass|pwd|pw$", named)) and v.isalpha() and v.islower())
-    if n >= 4 and left <= 2 and re.fullmatch(r"[A-Za-z_]+\d{0,2}", v):
-        return False
-    if not quoted and re.fullmatch(r"[A-Za-z]+(?:_[A-Za-z]+)*_?\d{0,4}", v) and left <= 2 and not re.search(r"(?:19|20)\d\d$", v) and n > 1:
-        return bool(re.fullmatch(r"[A-Z][a-z]+_[a-z]+\d{2,4}", v))
-    return bool(re.search(r"\d", v)) or left >= 4
+    if re.fullmatch(r"[\d.,:]+", v):  # a number is a secret only where it is called so
+        return quoted and bool(re.search(r"(?i)pass|pwd|pin|pw$", named))
+    if re.fullmatch(r"[a-z]+", v) and quoted and re.search(r"(?i)pass|pwd|pw$", named) and words.residual(v) == (0, 1):
+        return True  # a weak password
+    if not quoted and re.fullmatch(r"[A-Za-z_.\-\[\]]+", v):  # may be a name: most of it must be unexplained
+        return words.residual(v)[0] >= max(8, len(v) / 2)
+    return surprise(v, words) >= NAMED_RESIDUAL
 
 
 def find_secrets(text: str | None, words: Words) -> list[str]:
@@ -217,22 +227,47 @@ def _in_line(line: str, words: Words, found: dict[str, None]) -> None:
     for m in _TAG.finditer(line):
         if _named(m[1]) and _is_secret(m[2], True, words, m[1]):
             found[m[2]] = None
+    refused = set()
     for m in _COMMAND.finditer(line):
         g = m.groups()
         v, q = next((x for x in (_first(g[0:4]), (g[4] or "", True), _first(g[5:9]), (g[9] or "", True), (g[10] or "", True)) if x[0]), ("", False))
         v = v.rstrip(".,;") if not q else v
-        if _is_secret(v, q, words, "") and not (len(v) == 64 and _HEX.match(v)):  # a digest, as no key says otherwise
+        if len(v) == 64 and _HEX.match(v):  # a digest, as no key says otherwise
+            refused.add(v)
+        elif _is_secret(v, q, words, ""):
             found[v] = None
-    _in_sentence(line, _SENTENCE, words, found)
-    _in_sentence(line, _USED, words, found)
+    nouns = list(_NOUN.finditer(line))
+    if nouns:
+        literals = list(_QUOTED.finditer(line))
+        ends = [m.end() for m in literals]
+        for noun in nouns:
+            for m in literals[bisect_left(ends, noun.start() - AFTER) :]:
+                if m.start() >= noun.end() + BEFORE:
+                    break
+                v, q = _first(m.groups())
+                v = v if q else v.rstrip(_TRAILING)
+                if v not in refused and not (q and _is_key(line, m)) and _same_sentence(line, noun, m) and _told(v, q) and _is_secret(v, True, words, ""):
+                    found[v] = None
+
+
+def _is_key(line: str, literal: re.Match) -> bool:
+    """Whether a quoted literal is a key: before an assignment or colon, in a subscript, or the name of an environment variable."""
+    return bool(_KEY_PLACE.match(line, literal.end()) or re.search(r"(?i)\w\[$|env\w*\($", line[max(0, literal.start() - 20) : literal.start()]))
+
+
+def _same_sentence(line: str, noun: re.Match, literal: re.Match) -> bool:
+    if literal.start() >= noun.end():
+        gap = line[noun.end() : literal.start()]
+    elif literal.end() <= noun.start():
+        gap = line[literal.end() : noun.start()]
+    else:
+        return False
+    return not _SENTENCE_END.search(gap) or bool(re.fullmatch(r"\s*[^\w\s]*:\s*", gap))
 
 
-def _in_sentence(line: str, pattern: re.Pattern, words: Words, found: dict[str, None]) -> None:
-    for m in pattern.finditer(line):
-        v, q = _first(m.groups())
-        v = v if q else _bare_value(v)
-        if (q or re.search(r"\d", v) and (not _HEX.match(v) or len(v) >= 32)) and _is_secret(v, True, words, ""):
-            found[v] = None
+def _told(v: str, quoted: bool) -> bool:
+    """Whether a literal of a sentence may be a value: quoted, or letters with digits, and no assignment."""
+    return bool(re.search(r"[A-Za-z0-9]", v) and "=" not in v[:-2] and (quoted or re.search(r"\d", v) and re.search(r"[^\W\d]", v)))
 
 
 def _bare(before: str, literal: str, words: Words, found: dict[str, None]) -> None:
@@ -284,9 +319,19 @@ def extract(texts: DataFrame, counts: dict[str, int]) -> DataFrame:
     return wanted.mapInPandas(run, "src string, row_id long, secret string").distinct()
 
 
+def masked(text: str | None, secrets: list[str]) -> tuple[str | None, int]:
+    """``text`` with a label for every secret that stands alone, and the number of labels. An occurrence inside a longer
+    word or number is part of another literal and stays; of overlapping secrets the longest is replaced."""
+    if not secrets:
+        return text, 0
+    word = r"[A-Za-z0-9_]"
+    alone = (rf"(?<!{word}){re.escape(v)}(?!{word})" for v in sorted(secrets, key=len, reverse=True))
+    return re.subn("|".join(alone), lambda m: "«REDACTED:PRIVATE_KEY»" if m[0].startswith("-----BEGIN") else "«REDACTED:SECRET»", text)
+
+
 def redact(texts: DataFrame, counts: dict[str, int]) -> DataFrame:
     """``texts`` (src, row_id, text, ...) with ``masked``, where every secret is replaced by a mask that keeps the code
-    around it, quotes and lines included, and ``n_masked``. NULL text stays NULL with 0; longer secrets go first."""
+    around it, quotes and lines included, and ``n_masked``. NULL text stays NULL with 0."""
     shared = texts.sparkSession.sparkContext.broadcast(counts)
 
     @F.pandas_udf("masked string, n_masked int")
@@ -295,11 +340,7 @@ def redact(texts: DataFrame, counts: dict[str, int]) -> DataFrame:
         for s in col:
             out = []
             for t in s:
-                n = 0
-                for v in sorted(find_secrets(t, words), key=len, reverse=True):
-                    label = "«REDACTED:PRIVATE_KEY»" if v.startswith("-----BEGIN") else "«REDACTED:SECRET»"
-                    n += t.count(v)
-                    t = t.replace(v, label)
+                t, n = masked(t, find_secrets(t, words))
                 out.append((t, n))
             yield pd.DataFrame(out, columns=["masked", "n_masked"])
 

@@ -6,7 +6,7 @@ import string
 
 import pytest
 
-from mnemospark.llm.credentials import LONG_RESIDUAL, Words, dictionary, extract, find_secrets, redact
+from mnemospark.llm.credentials import LONG_RESIDUAL, Words, dictionary, extract, find_secrets, masked, redact
 
 W = Words({w: 100 for w in "harbor linen shadow config client factory signal shelf brick lotus load token value parse next stream the and for user pack river copper".split()})
 # secrets are put together here, so that none stands in the repository
@@ -19,12 +19,14 @@ FOUND = [
     ('db_password = "Linen+shadow9770"', ["Linen+shadow9770"]), (f"export API_TOKEN={RANDOM}", [RANDOM]), (f"# works with {KEY} only", [KEY]), (f'curl -H "Authorization: Basic {BASIC}" x', [BASIC]),
     ("postgres://svc:hArb0r77xQ@db.invalid/x", ["hArb0r77xQ"]), ("Server=a;User Id=b;PWD=Copper_river12;Pooling=true", ["Copper_river12"]), (PEM, [PEM]), (f"// {RANDOM}", [RANDOM]),
     ("- name: admin_pw\n  value: 'Shelf*brick88'", ["Shelf*brick88"]), ("비밀번호는 Harbor!lotus77 입니다.", ["Harbor!lotus77"]), ("ALTER USER x WITH PASSWORD 'copper1934!';", ["copper1934!"]),
-    ("machine h login u password Linen_brick4410", ["Linen_brick4410"]), ('headers["x-secret"] = `Linen+copper81`;', ["Linen+copper81"]), ('secret_key = "' + "0f" * 20 + '"', ["0f" * 20]),
+    ("admin with Tr0ub4dor&3 as the passphrase", ["Tr0ub4dor&3"]), ("user bob, pw hunter2x", ["hunter2x"]), ("db.login('shelf', 'Linen_brick4410')", ["Linen_brick4410"]),
+    ("Ihr Zugang: `Harbor+linen42`.", ["Harbor+linen42"]), ("machine h login u password Linen_brick4410", ["Linen_brick4410"]), ('headers["x-secret"] = `Linen+copper81`;', ["Linen+copper81"]), ('secret_key = "' + "0f" * 20 + '"', ["0f" * 20]),
 ]
 NOT = [
     'password = "changeme"', "token = parse_next(stream)", "password = os.environ['X_KEY']", 'api_key = "${RIVER_KEY}"', 'token = "«REDACTED:SECRET»"', "# see commit " + "ab12" * 10,
     'sha256 = "' + "0f" * 32 + '"', 'request_id: "72714385-6826-449c-abd4-87ed600b1fa8"', "integrity: sha512-" + "aB3" * 20 + "==", "# password: required, at least 12 characters",
     "public_key = 'ssh-ed25519 AAAA" + "b7C" * 20 + "'", "HARBOR_LINEN_HASH=loadShadowConfig", "class SignalShelfBrickLotusFactory2", "token_count = 5017", "# -----BEGIN PRIVATE KEY----- (block goes here)",
+    "auth_mode = 'lotus2'", "headers['x-harbor_pw'] = `${HARBOR}`", "the key `load_config_value` maps to 3", "password = getenv('RIVER_KEY')", "the user logged in at 10:42 on 2024-01-02",
     "url = 'https://x.invalid:7/a?page=3'", "Use the password of your account.", "", None, "   ",
 ]
 
@@ -56,6 +58,18 @@ def test_masking_keeps_what_is_around(spark):
     assert extract(df.limit(0), {}).count() == 0
 
 
+def test_masking_can_be_undone():
+    text = 'password = "user1x"\nuser1xy = load(user1x_row, "user1x")\ntoken: user1x1\n'
+    out, n = masked(text, ["user1x"])
+    assert n == 2 and out == 'password = "«REDACTED:SECRET»"\nuser1xy = load(user1x_row, "«REDACTED:SECRET»")\ntoken: user1x1\n'
+    assert out.replace("«REDACTED:SECRET»", "user1x") == text and masked(None, []) == (None, 0)
+
+
+def test_the_dictionary_decides_about_look_alikes():
+    alike = [f'{key} = "{value}"' for key in ("db_password", "auth_token", "api_key") for value in ("harbor_config", "loadShadowConfig", "river-token-value", "client_factory", "nextValue")]
+    assert not any(find_secrets(t, W) for t in alike) and all(find_secrets(t, Words({})) for t in alike)
+
+
 def W_counts():
     return {w: 100 for w in W.cost}
 
