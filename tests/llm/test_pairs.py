@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from mnemospark.llm.pairs import breaks_off, defect, flag_pairs, language, tiled
+from mnemospark.llm.pairs import breaks_off, defect, flag_pairs, is_refusal, language, tiled
 
 Q = "How should the harbor loader behave when the lantern list is empty after the merge of both tables?"
 A = "The loader skips the lantern list and writes a warning, as the merge of both tables has filled it before."
@@ -36,3 +36,52 @@ def test_over_a_table(spark):
     df = spark.createDataFrame(rows, "turn_id long, question string, answer string, defect string")
     assert sorted(map(tuple, flag_pairs(df).collect())) == [(1, "empty"), (3, "empty")]
     assert flag_pairs(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "**Use the cache", "<div><p>Use it now.", "The call (which\nspans lines\nends.", "Run `make all and wait.", "There are 3 steps:\n1. Open it.\n2. Close it.", "See src/core/window_pane.",
+        "Es sind 2 Schritte:\n1. Erst lesen.", "```\nx = 1", "It reads “the first line. And so on.", "The value is ~~old. It moves.",
+    ],
+)
+def test_breaks_off(text):
+    assert breaks_off(text)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "**Use the cache** and go.", "<p>Use it now.</p>", "a) first one\nb) second one.", "There are 2 steps:\n1. Open it.\n2. Close it.", "A (long\nbracket) closes.", "Set `x[0` first.", "An open (bracket.\n\nA later paragraph.",
+        "See src/core/window_pane.py.", "Done.", "```\nf(x[\n```", "The list<string> type is fine.", "src/a/b.py",
+    ],
+)
+def test_is_whole(text):
+    assert not breaks_off(text)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "I'm afraid that falls outside of what I may do.", "That falls outside of what I may do.", "I don't feel comfortable answering that.", "We are not able to share this.", "Sorry, but I won't go into that.",
+        "Je ne peux pas vous aider avec cela.", "Das kann ich leider nicht beantworten.", "Debo negarme.", "Unfortunately, I must respectfully decline.", "I'm not comfortable discussing it.",
+    ],
+)
+def test_refusals_in_other_words(text):
+    assert is_refusal(text)
+
+
+@pytest.mark.parametrize("text", ['The log says "I cannot help with that" twice.', "It prints `I can't do that` and ends.", "I can't see a caller, so it is safe.", "> I cannot help with that\nFixed.", "I couldn't reproduce it at first."])
+def test_no_refusals(text):
+    assert not is_refusal(text)
+
+
+def test_tiling_is_fast_on_long_alike_texts():
+    import random
+    import time
+
+    rng = random.Random(2)
+    q = [f"w{rng.randrange(3000)}" for _ in range(20_000)]
+    began = time.time()
+    assert tiled(q, q) == len(q) and tiled(q, q[10_000:] + ["x"] * 50 + q[:10_000]) == len(q) and tiled(q, ["y"] * 20_000) == 0
+    assert time.time() - began < 30 and tiled("a b c d e f".split(), "d e f x a b c a b".split()) == 6
