@@ -1,7 +1,8 @@
 """Problem 6: conversations rebuilt from message rows, in order and with roles; broken ones are left out.
 
 Rows that carry no session identifier are put into conversations as connected components over their reply and
-quote links, by alternating large-star and small-star joins. All conversations are then ordered and checked by
+quote links, by alternating large-star and small-star joins; a log in which every row has one is not searched for
+links. All conversations are then ordered and checked by
 windows over (session, hour) and a second window over the few rows that sum up each hour, so that no task ever
 holds a whole session.
 """
@@ -16,11 +17,15 @@ from ..operators.components import connected_components
 from ..operators.sessions import NOISE
 from ..plans.times import INSTANTS_SQL
 from ..session import cut, table
+from .nearest_time import nearest_in_time
 
 # The injected blocks.
 INJECTED = r"(?s)<system-reminder>.*?</system-reminder>|<task-notification>.*?</task-notification>"
 
 HOUR = 3_600_000_000
+#: Longest time between a message and its reply at the same place.
+REPLY_GAP = 20 * 60_000_000
+_LACKING = "session_id is null or trim(session_id) = ''"
 
 
 def _messages(records: DataFrame) -> DataFrame:
@@ -69,32 +74,50 @@ def _messages(records: DataFrame) -> DataFrame:
 
 
 def quote_links(messages: DataFrame) -> DataFrame:
-    """(a, b): a message whose leading quoted line (``> ...``) is the first line of another; a line that several
-    messages share links to the first of them by id. ``messages``: (rec_id, text). Lines under 20 characters link nothing."""
-    first = lambda c: F.regexp_extract(c, r"^\s*([^\r\n]+?)\s*(?:\r|\n|$)", 1)
-    said = messages.select("rec_id", first(F.col("text")).alias("line")).where(F.length("line") >= 20)
-    said = said.where(~F.col("line").startswith(">")).groupBy("line").agg(F.min("rec_id").alias("b"))
-    quoted = messages.select(F.col("rec_id").alias("a"), F.regexp_extract("text", r"^\s*>\s*([^\r\n]+?)\s*(?:\r|\n|$)", 1).alias("line"))
-    return quoted.where(F.length("line") >= 20).join(said, "line").select("a", "b")
+    """(a, b): a message whose leading quoted line (``> ...``) is the first line of another, and the latest such message
+    of the day before it, so that a stock phrase links no more than one. ``messages``: (rec_id, text, us). Lines under 20
+    characters and messages without a time link nothing."""
+    first = lambda mark: F.regexp_extract("text", rf"^\s*{mark}([^\r\n]+?)\s*(?:\r|\n|$)", 1)
+    lines = messages.select("rec_id", "us", first("").alias("said"), first(r">\s*").alias("quoted"))
+    said = lines.where((F.length("said") >= 20) & ~F.col("said").startswith(">")).select(F.col("said").alias("entity"), F.col("us").alias("t"), F.col("rec_id").alias("key"))
+    asked = lines.where(F.length("quoted") >= 20).select(F.col("rec_id").alias("lid"), F.col("quoted").alias("entity"), F.col("us").alias("t"))
+    return nearest_in_time(asked, said, back_us=24 * HOUR, forward_us=0, tick_us=3 * HOUR).select(F.col("lid").alias("a"), F.col("key").alias("b"))
+
+
+def reply_links(messages: DataFrame, gap: int = REPLY_GAP) -> DataFrame:
+    """(a, b): a message and the one before it at the same place (agent, machine and cwd; NULLs are alike), at most
+    ``gap`` microseconds (one hour or less) earlier. ``messages``: (rec_id, agent, machine, cwd, us). Windows are over
+    (place, hour); the first of an hour follows the last of the hour before."""
+    place = F.sha2(F.concat_ws("\0", *[F.coalesce(F.trim(c), F.lit("")) for c in ("agent", "machine", "cwd")]), 256)
+    hour = F.floor(F.col("us") / F.lit(HOUR)).cast("long")
+    m = messages.where("us is not null").select("rec_id", "us", place.alias("place"), hour.alias("hour"))
+    w = Window.partitionBy("place", "hour").orderBy("us", "rec_id")
+    m = m.withColumns({"b": F.lag("rec_id").over(w), "before": F.lag("us").over(w)})
+    last = m.groupBy("place", (F.col("hour") + 1).alias("hour")).agg(F.max(F.struct("us", "rec_id")).alias("last"))
+    first = m.where("b is null").join(last, ["place", "hour"])
+    over = first.select("rec_id", "us", F.col("last.rec_id").alias("b"), F.col("last.us").alias("before"))
+    links = m.where("b is not null").select("rec_id", "us", "b", "before").unionAll(over)
+    return links.where(F.col("us") - F.col("before") <= gap).select(F.col("rec_id").alias("a"), "b")
 
 
 def assign_sessions(messages: DataFrame, replies: DataFrame | None = None) -> DataFrame:
     """``messages`` with every NULL or blank ``session_id`` filled by ``component:<smallest rec_id>``.
 
-    Components run over quote links and, if given, ``replies`` (a, b: record ids), among the rows without identifier
-    only. A row without any link is a conversation of its own.
+    Components run over quote links and the given ``replies`` (a, b: record ids) or else the reply links of time and
+    place, among the rows without identifier only. A row without any link is a conversation of its own.
     """
-    lacking = F.col("session_id").isNull() | (F.trim("session_id") == "")
-    orphans = messages.where(lacking)
-    links = quote_links(orphans.select("rec_id", "text"))
-    if replies is not None:
+    orphans = messages.where(_LACKING)
+    links = quote_links(orphans)
+    if replies is None:
+        links = links.unionAll(reply_links(orphans))
+    else:
         ids = orphans.select("rec_id").distinct()
         inside = replies.select("a", "b").join(ids.withColumnRenamed("rec_id", "a"), "a", "left_semi")
         links = links.unionAll(inside.join(ids.withColumnRenamed("rec_id", "b"), "b", "left_semi").select("a", "b"))
     components = connected_components(links)
     filled = orphans.join(components, orphans["rec_id"] == components["node"], "left").drop("node")
     filled = filled.withColumn("session_id", F.concat(F.lit("component:"), F.coalesce("component", "rec_id").cast("string")))
-    return messages.where(~lacking).unionByName(filled.drop("component"))
+    return messages.where("session_id is not null and trim(session_id) <> ''").unionByName(filled.drop("component"))
 
 
 def rebuild_conversations(records: DataFrame, machines: DataFrame, replies: DataFrame | None = None) -> DataFrame:
@@ -102,20 +125,23 @@ def rebuild_conversations(records: DataFrame, machines: DataFrame, replies: Data
 
     Records alike in session, type, content and non-NULL timestamp are one, under the smallest id. A conversation is
     kept if it has messages, all with a usable time, starts with the user, and every user message is followed by an
-    assistant message before the next user message or the end. Order is by time, then id. NULL flags count as false,
+    assistant message before the next user message or the end. Order is by time, then id. Records without session are put
+    into one first, by ``replies`` (a, b) or else by time and place (with ``cwd``, if there is one). NULL flags count as false,
     NULL or unparsable content as no text, rows without ``rec_id`` are ignored; no records, no rows; further columns
     are dropped.
     """
     need = ["rec_id", "session_id", "agent", "type", "content", "timestamp", "machine", "is_meta", "is_sidechain"]
-    m = _messages(records.select(*need).where("rec_id is not null"))
-    m = assign_sessions(m, replies)
+    cwd = F.col("cwd") if "cwd" in records.columns else F.lit(None).cast("string").alias("cwd")
+    records = records.select(*need, cwd).where("rec_id is not null")
+    m = with_instant(_messages(records), machines, "timestamp", "us")
+    if not records.where(_LACKING).select("rec_id").isEmpty():
+        m = assign_sessions(cut(m), replies)
     side = F.coalesce(F.col("is_meta"), F.lit(False)) | F.coalesce(F.col("is_sidechain"), F.lit(False))
     m = m.select(
-        "session_id", "type", "rec_id", "role", "timestamp", "machine",
+        "session_id", "type", "rec_id", "role", "timestamp", "us",
         F.unhex(F.md5(F.col("content").cast("binary"))).alias("digest"),
         ((F.col("text") != "") & ~side).alias("ok"),
     )
-    m = with_instant(m, machines, "timestamp", "us")
     alone = F.when(F.col("timestamp").isNull(), F.col("rec_id"))
     m = m.groupBy("session_id", "type", "digest", "timestamp", alone.alias("alone")).agg(F.min(F.struct("rec_id", "role", "ok", "us")).alias("x"))
     m = m.select("session_id", "x.*").where("ok").select("session_id", "rec_id", "role", "us")
@@ -149,13 +175,18 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rebuild_conversations(table(spark, sf_dir, "message_records"), table(spark, sf_dir, "machines"))
 
 
-QUERIES = {"p6_found": p6_found}
+def p6_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(session_id, pos, rec_id, role) of the whole message log as if no record had a session: conversations by links."""
+    records = table(spark, sf_dir, "message_records").withColumn("session_id", F.lit(None).cast("string"))
+    return rebuild_conversations(records, table(spark, sf_dir, "machines"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_linked": p6_linked}
 _BLOCKS = "coalesce(CAST(CASE WHEN json_type({0}) = 'ARRAY' THEN {0} END AS JSON[]), [])"
 _JOIN = "array_to_string(list_filter(list_transform({0}, lambda b: b->>'$.text'), lambda t: t <> ''), chr(10))"
 _SPACE = r"[\s\p{Z}\x0b\x1c-\x1f\x85]"
 _NOISY = {a: " OR ".join(f"starts_with(bare, '{p}')" for p in ps) for a, ps in NOISE.items()}
-SQL = {
-    "p6_found": f"""
+_P6 = f"""
 WITH r AS (SELECT DISTINCT rec_id, session_id, agent, type, content, timestamp, machine, coalesce(is_meta, false) OR coalesce(is_sidechain, false) AS side, starts_with(content, '{{') OR starts_with(content, '[{{') OR content = '[]' AS js
              FROM message_records WHERE content IS NOT NULL AND (type IN ('user', 'assistant', 'response_item', 'gemini'))),
      v AS (SELECT *, CASE WHEN js AND json_valid(content) THEN content::JSON END AS j FROM r),
@@ -171,4 +202,13 @@ WITH r AS (SELECT DISTINCT rec_id, session_id, agent, type, content, timestamp,
      k AS (SELECT session_id FROM o GROUP BY session_id HAVING bool_and(us IS NOT NULL) AND arg_min(role, pos) = 'user' AND bool_and(role <> 'user' OR coalesce(after, '') = 'assistant'))
 SELECT session_id, pos::BIGINT AS pos, rec_id, role FROM o WHERE session_id IN (SELECT session_id FROM k)
 """
-}
+_ISLANDS = f"""
+WITH n AS (SELECT DISTINCT rec_id, row_id, coalesce(trim(agent), '') || chr(0) || coalesce(trim(machine), '') || chr(0) || coalesce(trim(cwd), '') AS place, CASE WHEN regexp_full_match(timestamp, '\\d{{4}}-\\d{{2}}-\\d{{2}}T\\d{{2}}:\\d{{2}}:\\d{{2}}\\.\\d{{3}}Z') THEN epoch_us(try_strptime(timestamp, '%Y-%m-%dT%H:%M:%S.%fZ')) ELSE us END AS us
+             FROM message_records LEFT JOIN (SELECT DISTINCT row_id, us FROM ({INSTANTS_SQL}) WHERE src = 'message') ON row_id = rec_id
+            WHERE content IS NOT NULL AND ((agent = 'claude' AND type IN ('user', 'assistant')) OR (agent = 'codex' AND type = 'response_item') OR (agent = 'gemini' AND type IN ('user', 'gemini')))),
+     g AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY place ORDER BY us, rec_id) <= {REPLY_GAP} THEN 0 ELSE 1 END AS starts FROM n WHERE us IS NOT NULL),
+     i AS (SELECT *, sum(starts) OVER (PARTITION BY place ORDER BY us, rec_id) AS island FROM g),
+     c AS (SELECT rec_id, min(rec_id) OVER (PARTITION BY place, island) AS one FROM i)
+SELECT m.* REPLACE ('component:' || coalesce(c.one, m.rec_id) AS session_id) FROM message_records m LEFT JOIN c ON c.rec_id = m.rec_id
+"""
+SQL = {"p6_found": _P6, "p6_linked": _P6.replace("FROM message_records WHERE content IS NOT NULL", f"FROM ({_ISLANDS}) WHERE content IS NOT NULL")}

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import json
 
-from mnemospark.llm.conversations import rebuild_conversations
+from mnemospark.llm.conversations import quote_links, rebuild_conversations
 
 SCHEMA = "rec_id long, session_id string, agent string, type string, content string, timestamp string, machine string, is_meta boolean, is_sidechain boolean, pos string"
 A = lambda t: json.dumps([{"type": "thinking", "thinking": "x"}, {"type": "text", "text": t}])
@@ -55,3 +55,19 @@ def test_long_session_in_one_hour_and_over_many(spark):
         rows.append(row(k, "hot", "gemini", "user" if k % 2 == 0 else "gemini", f"text {k}", ts=str(1_760_000_000 + k * (1 if k < 200 else 977))))
     got = run(spark, rows)["hot"]
     assert [p for p, _, _ in got] == list(range(1, 401)) and [i for _, i, _ in got] == list(range(400))
+
+
+def test_a_log_without_any_session_is_rebuilt(spark, sf):
+    """Recall and precision of the conversations found by reply links alone, against the sessions of the log."""
+    from mnemospark.llm.conversations import p6_found, p6_linked
+
+    want, got = ({(r["rec_id"], r["role"]): r["session_id"] for r in q(spark, sf).collect()} for q in (p6_found, p6_linked))
+    by = lambda d: {(a, b) for s in set(d.values()) for m in [sorted(k[0] for k, v in d.items() if v == s)] for a, b in zip(m, m[1:], strict=False)}
+    assert len(by(want) & by(got)) >= 0.99 * len(by(want))
+
+
+def test_a_stock_phrase_links_only_the_latest(spark):
+    said = "> The same words as on every other day\nx"
+    rows = [(1, said[2:], 0), (2, said[2:], 3_600_000_000), (3, said, 7_200_000_000), (4, said, 400_000_000_000), (5, "> short\nx", 1), (6, said, None)]
+    m = spark.createDataFrame(rows, "rec_id long, text string, us long")
+    assert [tuple(r) for r in quote_links(m).collect()] == [(3, 2)]
