@@ -1,10 +1,11 @@
 """Problem 9: sources mixed to target shares of tokens, with a cap on repeats.
 
-Each source's documents are permuted by a seeded hash and cut into blocks. The block quotas that meet the shares
-are split among the output shards by a multivariate-hypergeometric tree: a node's blocks are drawn without
-replacement for its left half, by source, until a leaf is one shard with exact quotas of every source. A shard then
-draws the next disjoint run of each source's permuted blocks, and its documents are ordered by a local shuffle.
-Only block sums (a fixed number per source) reach the driver.
+Each source's documents are permuted by a seeded hash and cut into blocks of about BLOCK_TOKENS. The block quotas that
+meet the shares are split among the output shards by a multivariate-hypergeometric tree: a node's blocks are drawn
+without replacement for its left half, by source, until a leaf is one shard with exact quotas of every source. A shard
+then draws the next disjoint run of each source's permuted blocks. ``ordered`` shuffles a shard's documents locally, by
+a seeded hash. Blocks and shards follow from the size of the sources, so that each fits a task; only block sums reach
+the driver.
 """
 
 from __future__ import annotations
@@ -23,8 +24,11 @@ from ..session import cut, table
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Blocks of each source and output shards of a mixture; fixed numbers, whatever the input.
-BLOCKS, SHARDS = 512, 16
+#: Tokens of a block and of an output shard (a few hundred megabytes of text), and the fewest blocks of a source and shards.
+BLOCK_TOKENS, SHARD_TOKENS = 32_000_000, 128_000_000
+LEAST_BLOCKS, LEAST_SHARDS = 512, 16
+#: Most blocks of all sources, whose sums the driver holds; beyond that blocks get larger.
+MOST_BLOCKS = 1_000_000
 #: Most plan rows and most sources of all plans; more raise, as they would not fit the driver.
 PLAN_ROWS, PLAN_SOURCES = 100_000, 1_000
 SEED = 7
@@ -80,40 +84,49 @@ def mixture(tokens: DataFrame, plans: DataFrame) -> DataFrame:
     used = sorted({s for of in wanted.values() for s in of})
     if len(rows) > PLAN_ROWS or len(used) > PLAN_SOURCES:
         raise ValueError(f"more than {PLAN_ROWS} plan rows or {PLAN_SOURCES} sources in plans")
+    if not used:
+        return tokens.select(F.lit("").alias("plan"), F.lit(0).alias("shard"), "source", "doc_id", "tokens", F.lit(1).cast("long").alias("repeats")).limit(0)
     named = F.broadcast(spark.createDataFrame([(s,) for s in used], "source string"))
-    hashed = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(BLOCKS)).cast("int").alias("block")
-    blocked = cut(tokens.join(named, "source", "left_semi").select("source", "doc_id", "tokens", hashed))
-    sums = {(r["source"], r["block"]): r["n"] for r in blocked.groupBy("source", "block").agg(F.sum("tokens").alias("n")).collect()}
+    kept = cut(tokens.join(named, "source", "left_semi").select("source", "doc_id", "tokens"))
+    sizes = {r["source"]: r["n"] for r in kept.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
+    of_block = max(BLOCK_TOKENS, -(-sum(sizes.values()) // MOST_BLOCKS))
+    blocks = {s: max(LEAST_BLOCKS, -(-n // of_block)) for s, n in sizes.items()}
+    counts = F.broadcast(spark.createDataFrame(list(blocks.items()) or [("", 1)], "source string, blocks long"))
+    hashed = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.col("blocks")).alias("block")
+    blocked = kept.join(counts, "source").select("source", "doc_id", "tokens", hashed)
+    sums: dict[str, dict[int, int]] = {s: {} for s in used}
+    for r in blocked.groupBy("source", "block").agg(F.sum("tokens").alias("n")).toLocalIterator():
+        sums[r["source"]][r["block"]] = r["n"]
     taken: list[tuple[str, int, str, int, int, float]] = []
     for plan in sorted(wanted):
         of = wanted[plan]
-        sizes = {s: sum(n for (x, _), n in sums.items() if x == s) for s in of}
         whole = sum(share for share, _ in of.values())
-        total = min(cap * sizes[s] * whole / share for s, (share, cap) in of.items())
+        total = min(cap * sizes.get(s, 0) * whole / share for s, (share, cap) in of.items())
         if total <= 0:
             continue
         names = sorted(of)
         rng = np.random.default_rng([SEED, *plan.encode()])
         runs, quotas = {}, []
         for s in names:  # the blocks of all passes in permuted order, up to the one that reaches the quota
-            order = [b for b in range(BLOCKS) if (s, b) in sums]
+            order = sorted(sums[s])
             rng.shuffle(order)
             left, run = total * of[s][0] / whole, []
             for _pass in range(of[s][1]):
                 for b in order:
                     if left < 0.5:
                         break
-                    run.append((b, min(1.0, left / sums[s, b])))
-                    left -= sums[s, b]
+                    run.append((b, min(1.0, left / sums[s][b])))
+                    left -= sums[s][b]
             runs[s] = run
             quotas.append(len(run))
         at = dict.fromkeys(names, 0)
-        for shard, parts in enumerate(split_quotas(quotas, SHARDS, rng)):
+        shards = max(LEAST_SHARDS, int(-(-total // SHARD_TOKENS)))
+        for shard, parts in enumerate(split_quotas(quotas, shards, rng)):
             for s, n in zip(names, parts, strict=True):
                 for b, part in runs[s][at[s] : at[s] + n]:
                     taken.append((plan, shard, s, b, 1, part))
                 at[s] += n
-    drawn = spark.createDataFrame(taken, "plan string, shard int, source string, block int, times int, part double")
+    drawn = spark.createDataFrame(taken, "plan string, shard int, source string, block long, times int, part double")
     full = drawn.where("part >= 1").groupBy("plan", "shard", "source", "block").agg(F.sum("times").alias("repeats"))
     rest = drawn.where("part < 1").select("plan", "shard", "source", "block", "part")
     keys = ["source", "block"]
@@ -126,6 +139,14 @@ def mixture(tokens: DataFrame, plans: DataFrame) -> DataFrame:
     return chosen.unionAll(partial.select("plan", "shard", "source", "doc_id", "tokens", F.lit(1).cast("long").alias("repeats")))
 
 
+def ordered(mixed: DataFrame) -> DataFrame:
+    """(plan, shard, position, source, doc_id): every use of a document in a shard at its place, by a seeded hash. A
+    shard has about SHARD_TOKENS tokens, which one task sorts. Rows of ``mixture``; equal hashes are ordered by document."""
+    every = mixed.select("plan", "shard", "source", "doc_id", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))).alias("use"))
+    w = Window.partitionBy("plan", "shard").orderBy(F.xxhash64(F.lit(SEED + 2), "plan", "shard", "source", "doc_id", "use"), "source", "doc_id", "use")
+    return every.select("plan", "shard", F.row_number().over(w).cast("long").alias("position"), "source", "doc_id")
+
+
 def shares(mixed: DataFrame, plans: DataFrame) -> DataFrame:
     """(plan, source, target_share, tokens, actual_share) of every plan row; sources that give nothing have 0."""
     got = mixed.groupBy("plan", "source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"))
@@ -150,5 +171,23 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(_mixed(spark, sf_dir), table(spark, sf_dir, "mix_plans"))
 
 
-QUERIES = {"p9_mix": p9_mix, "p9_shares": p9_shares}
-SQL: dict[str, str] = {}
+def p9_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(plan, shard, position, source, doc_id): every shard of every plan in its shuffled order."""
+    return ordered(_mixed(spark, sf_dir))
+
+
+def p9_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(plan, source, share_met, within_cap): whether each plan row's share is met within its largest document and no
+    document is used more often than its cap, from the mixture of all documents."""
+    mixed, plans = cut(_mixed(spark, sf_dir)), table(spark, sf_dir, "mix_plans").distinct()
+    plans = plans.select("plan", F.lower(F.trim("source")).alias("source"), "target_share", "max_repeats")
+    use = mixed.groupBy("plan", "source", "doc_id").agg(F.max("tokens").alias("tokens"), F.sum("repeats").alias("repeats"))
+    got = use.groupBy("plan", "source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("n"), F.max("tokens").alias("longest"), F.max("repeats").alias("most"))
+    got = plans.join(got, ["plan", "source"], "left").withColumn("total", F.sum("n").over(Window.partitionBy("plan")))
+    met = F.abs(F.coalesce("n", F.lit(0)) - F.col("target_share") * F.col("total")) <= F.coalesce("longest", F.lit(0)) + 1
+    return got.select("plan", "source", met.alias("share_met"), (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_cap"))
+
+
+QUERIES = {"p9_mix": p9_mix, "p9_shares": p9_shares, "p9_order": p9_order, "p9_checked": p9_checked}
+# Tokens can't be counted in SQL: the properties that the mixture must have, for every plan row.
+SQL = {"p9_checked": "SELECT DISTINCT plan, lower(trim(source)) AS source, true AS share_met, true AS within_cap FROM mix_plans"}

@@ -33,7 +33,7 @@ def test_shares_and_caps(spark):
 
 
 def test_sources_beyond_the_plans(spark, monkeypatch):
-    monkeypatch.setattr(M, "BLOCKS", 2)
+    monkeypatch.setattr(M, "LEAST_BLOCKS", 2)
     T = spark.range(30_000).selectExpr("concat('s', id % 1500) as source", "id as doc_id", "10L as tokens")
     P = spark.createDataFrame([(f"p{k}", f"s{k}", 1.0, 1) for k in range(30)], "plan string, source string, target_share double, max_repeats long")
     got = {r["plan"]: r["count"] for r in M.mixture(T, P).groupBy("plan").count().collect()}
@@ -50,3 +50,20 @@ def test_tokens(spark):
     rows = [(1, " Note ", "hello world", "x"), (2, "note", "", "x"), (3, None, "a", "x"), (4, "note", None, "x"), (5, "code", "a " * 100_000, "x"), (1, "note", "hello world", "x")]
     got = {(r["source"], r["doc_id"]): r["tokens"] for r in M.count_tokens(spark.createDataFrame(rows, "doc_id long, source string, text string, tokens string")).collect()}
     assert got[("note", 1)] == 2 and got[("code", 5)] > 99_000 and len(got) == 2
+
+
+def test_blocks_and_shards_follow_the_size_and_order_is_whole(spark, monkeypatch):
+    for k, v in {"BLOCK_TOKENS": 50, "SHARD_TOKENS": 400, "LEAST_BLOCKS": 2, "LEAST_SHARDS": 2}.items():
+        monkeypatch.setattr(M, k, v)
+    T = spark.range(600).selectExpr("if(id < 500, 'a', 'b') as source", "id as doc_id", "10L as tokens")
+    P = spark.createDataFrame([("p", "a", 0.5, 1), ("p", "b", 0.5, 3)], "plan string, source string, target_share double, max_repeats long")
+    mixed = M.mixture(T, P)
+    sizes = {r["shard"]: r["n"] for r in mixed.groupBy("shard").agg({"repeats": "sum"}).withColumnRenamed("sum(repeats)", "n").collect()}
+    assert len(sizes) == 15 and sum(sizes.values()) == 600  # 6,000 tokens
+    rows = M.ordered(mixed).collect()
+    places: dict[int, list[int]] = {}
+    for r in rows:
+        places.setdefault(r["shard"], []).append(r["position"])
+    assert {s: sorted(p) for s, p in places.items()} == {s: list(range(1, n + 1)) for s, n in sizes.items()}
+    one = [r["doc_id"] for r in sorted(rows, key=lambda r: r["position"]) if r["shard"] == 3]
+    assert one != sorted(one)
