@@ -18,12 +18,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import cut, table
 
 PASSAGE = 12
 SHINGLE = 5
 #: Item minima up to which they are sent to all tasks to thin out the documents' minima before the join (16 MB).
 SENT_MINIMA = 2_000_000
+#: Candidate pairs of ids up to which they are sent to all tasks (16 bytes each) rather than joined by a shuffle.
+SENT_PAIRS = 400_000
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -76,12 +78,12 @@ def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id) of every document (doc_id, text) that holds at least PASSAGE consecutive words of an item (item_id, text).
 
     Words are runs of letters or digits, case ignored. NULL and short texts match nothing; rows that repeat count
-    once; other columns are dropped. Item minima are sent to all tasks only up to SENT_MINIMA; beyond that the
-    documents' minima are joined without being thinned out.
+    once, and a repeated id with another text has both; other columns are dropped. Item minima are sent to all tasks only
+    up to SENT_MINIMA; beyond that the documents' minima are joined without being thinned out.
     """
     spark = documents.sparkSession
 
-    def minima(key: str, keep: np.ndarray | None = None, with_text: bool = True):
+    def minima(key: str, keep: np.ndarray | None = None):
         known = spark.sparkContext.broadcast(keep) if keep is not None else None
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,25 +96,20 @@ def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
                         v = known.value
                         hit = v[np.minimum(np.searchsorted(v, m), len(v) - 1)] == m if len(v) else np.zeros(len(m), bool)
                         owner, m = owner[hit], m[hit]
-                    out = pd.DataFrame({key: part[key].to_numpy()[owner], "minimum": m})
-                    if with_text:
-                        out["text"] = part["text"].to_numpy()[owner]
-                    yield out
+                    yield pd.DataFrame({key: part[key].to_numpy()[owner], "minimum": m})
 
         return run
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    its = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
-    item_minima = its.mapInPandas(minima("item_id"), "item_id long, minimum long, text string").withColumnRenamed("text", "item_text")
+    its = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text")).where("item_id is not null and item_text is not null")
+    item_minima = cut(its.withColumnRenamed("item_text", "text").mapInPandas(minima("item_id"), "item_id long, minimum long").distinct())
     few = item_minima.select("minimum").distinct().limit(SENT_MINIMA + 1).toPandas()["minimum"].to_numpy()
-    if len(few) <= SENT_MINIMA:
-        candidates = docs.mapInPandas(minima("doc_id", np.sort(few)), "doc_id long, minimum long, text string").join(item_minima, "minimum")
-        candidates = candidates.select("doc_id", "item_id", "text", "item_text")
-    else:
-        thin = docs.mapInPandas(minima("doc_id", None, False), "doc_id long, minimum long").join(item_minima.drop("item_text"), "minimum")
-        pairs = thin.select("doc_id", "item_id").distinct()
-        candidates = pairs.join(docs, "doc_id").join(its.withColumnRenamed("text", "item_text"), "item_id")
-    candidates = candidates.dropDuplicates(["doc_id", "item_id"])
+    keep = np.sort(few) if len(few) <= SENT_MINIMA else None
+    shared = docs.mapInPandas(minima("doc_id", keep), "doc_id long, minimum long").distinct().join(item_minima, "minimum")
+    pairs = cut(shared.select("doc_id", "item_id").distinct())  # ids first: a text is read once more, however many minima it shares
+    if pairs.count() <= SENT_PAIRS:
+        pairs = F.broadcast(pairs)
+    candidates = docs.join(pairs, "doc_id").join(its, "item_id")
 
     @F.pandas_udf("boolean")
     def holds(text: pd.Series, item: pd.Series) -> pd.Series:

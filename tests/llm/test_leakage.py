@@ -18,12 +18,14 @@ def test_as_brute_force(spark, monkeypatch):
             at = rng.randrange(0, max(1, len(w) - n))
             body[len(body) // 2 : len(body) // 2] = [x.upper() for x in w[at : at + n]]
         docs.append((k, rng.choice([" ", "\n", "_", " -- "]).join(body), 5))
+    docs.append((1, "one more text of document 1: " + items[7][1], 5))
     docs += [(500, None, 5), (501, "", 5), (None, items[0][1], 5), docs[1], (502, "pad " * 50_000 + items[3][1], 5)]
     want = {(d, i) for d, t, _ in docs if d is not None for i, s in items if L.passages(s) & L.passages(t)}
     D = spark.createDataFrame(docs, "doc_id long, text string, item_id long")
     I = spark.createDataFrame([*items, (99, None), items[0]], "item_id long, text string")  # noqa: E741
     assert want and {tuple(r) for r in L.find_leaks(D, I).collect()} == want
-    monkeypatch.setattr(L, "SENT_MINIMA", 3)  # the way without sending the items' minima
+    monkeypatch.setattr(L, "SENT_MINIMA", 3)  # the way without sending the items' minima or the pairs
+    monkeypatch.setattr(L, "SENT_PAIRS", 3)
     assert {tuple(r) for r in L.find_leaks(D, I).collect()} == want
     assert L.find_leaks(D, I.limit(0)).count() == 0 and L.find_leaks(D.limit(0), I).count() == 0
 
