@@ -118,13 +118,13 @@ def add_instant(df: DataFrame, value: str, out: str, zone: str | None = None, da
     )
     micros = F.rpad(F.substring(F.coalesce(get(6), F.lit("")), 1, 6), 6, "0").cast("int")
     kept = [F.col(f"`{c}`") for c in df.columns if c != out]
-    df = _once(df.withColumn("_i_s", F.regexp_replace(F.col(value), _WHITE, "")), "_i_s", F.col("_i_s"))
-    df = _once(df, "_i_f", F.split(fields, r"\|", -1)).withColumn("_i_mon", F.lower(F.get(F.col("_i_f"), F.lit(1))))
-    df = _once(df.withColumns(pieces), "_i_local", made).withColumn("_i_utc", F.convert_timezone(named, F.lit("UTC"), needs_zone))
-    return _once(df, out, F.when(F.col("_i_f").isNotNull(), calendar + micros).otherwise(epoch)).select(*kept, out)
+    df = once(df.withColumn("_i_s", F.regexp_replace(F.col(value), _WHITE, "")), "_i_s", F.col("_i_s"))
+    df = once(df, "_i_f", F.split(fields, r"\|", -1)).withColumn("_i_mon", F.lower(F.get(F.col("_i_f"), F.lit(1))))
+    df = once(df.withColumns(pieces), "_i_local", made).withColumn("_i_utc", F.convert_timezone(named, F.lit("UTC"), needs_zone))
+    return once(df, out, F.when(F.col("_i_f").isNotNull(), calendar + micros).otherwise(epoch)).select(*kept, out)
 
 
-def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """``df`` with ``name`` as the only element of an exploded array: no rule of the optimiser copies ``value`` into
     the expressions and filters that use it, so that it stays one computation and the plan stays small."""
     return df.withColumn(name, F.explode(F.array(value)))

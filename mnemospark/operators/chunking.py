@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.instants import once
 from ..functions.text import is_indexable, language_of, lines, make_id
 
 WINDOW, OVERLAP, MAX_UNIT = 60, 15, 120
@@ -30,23 +31,18 @@ def declaration_starts(ls: Column, language: Column) -> Column:
     return F.when(language == "python", hit(PYTHON_DECLARATION)).when(language.isin(*BRACE_LANGUAGES), hit(BRACE_DECLARATION)).otherwise(none)
 
 
-def chunk_bounds(ls: Column, language: Column) -> Column:
-    """[(first, last)] 0-based, last exclusive: segments between declarations, over-long ones and files without
-    declarations cut into windows."""
-    n = F.size(ls)
-    starts = declaration_starts(ls, language)
-    cuts = F.array_distinct(F.concat(F.array(F.lit(0)), starts, F.array(n)))
-    segments = F.transform(
-        F.sequence(F.lit(0), F.size(cuts) - 2), lambda k: F.struct(F.get(cuts, k).alias("a"), F.get(cuts, k + 1).alias("b"))
-    )
+def _bounds(n: Column, cuts: Column) -> Column:
+    """[(a, b)] 0-based, b exclusive: the segments between neighbouring ``cuts`` (0, declarations, n), over-long ones and
+    files without declarations cut into windows."""
 
     def windows(a: Column, b: Column) -> Column:
         return F.transform(window_starts(b - a), lambda s: F.struct((a + s).alias("a"), F.least(a + s + WINDOW, b).alias("b")))
 
+    segments = F.transform(F.arrays_zip(F.slice(cuts, F.lit(1), F.size(cuts) - 1).alias("a"), F.slice(cuts, F.lit(2), F.size(cuts) - 1).alias("b")), lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b")))
     cut_up = F.flatten(
         F.transform(segments, lambda s: F.when(s["b"] - s["a"] > MAX_UNIT, windows(s["a"], s["b"])).otherwise(F.array(s)))
     )
-    return F.when(n == 0, F.array().cast("array<struct<a:int,b:int>>")).when(F.size(starts) == 0, windows(F.lit(0), n)).otherwise(cut_up)
+    return F.when(n == 0, F.array().cast("array<struct<a:int,b:int>>")).otherwise(cut_up)
 
 
 def chunk_lines(files: DataFrame, window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
@@ -63,12 +59,19 @@ def chunk_lines(files: DataFrame, window: int = WINDOW, overlap: int = OVERLAP)
 
 
 def chunk_symbols(files: DataFrame, language: str = "lang") -> DataFrame:
-    """As ``chunk_lines``, cut at the declarations of the language in column ``language`` (NULL: windows)."""
-    ls = F.col("_lines")
-    f = files.withColumn("_lines", lines(F.col("text"))).withColumn("_b", chunk_bounds(ls, F.coalesce(F.col(language), F.lit(""))))
-    f = f.withColumn("_b", F.explode("_b"))
+    """As ``chunk_lines``, cut at the declarations of the language in column ``language`` (NULL: windows).
+
+    Lines and cuts are computed once for each file, so that the work grows with its length. A file without
+    declarations is one segment in windows of any length; with them only segments over MAX_UNIT lines are cut up.
+    """
+    ls, n = F.col("_lines"), F.size("_lines")
+    f = once(files, "_lines", lines(F.col("text")))
+    f = once(f, "_starts", declaration_starts(ls, F.coalesce(F.col(language), F.lit(""))))
+    f = once(f, "_cuts", F.array_distinct(F.concat(F.array(F.lit(0)), F.col("_starts"), F.array(n))))
+    plain = F.transform(window_starts(n), lambda s: F.struct(s.alias("a"), F.least(s + WINDOW, n).alias("b")))
+    f = f.withColumn("_b", F.explode(F.when(F.size("_starts") == 0, plain).otherwise(_bounds(n, F.col("_cuts")))))
     a, b = F.col("_b.a"), F.col("_b.b")
-    return f.withColumns({"start_line": a + 1, "end_line": b, "chunk": F.array_join(F.slice(ls, a + 1, b - a), "\n")}).drop("_lines", "_b", "text")
+    return f.withColumns({"start_line": a + 1, "end_line": b, "chunk": F.array_join(F.slice(ls, a + 1, b - a), "\n")}).drop("_lines", "_starts", "_cuts", "_b", "text")
 
 
 def code_documents(files: DataFrame) -> DataFrame:
