@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from datetime import UTC, datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from ..functions.text import folding, has_work, index_tokens, jaccard, word_set
 RRF = 60
 PENALTY = 8
 COLLAPSE = 0.8
+#: Most hits of one request, as their collapsing folds over one row; more raise.
+MOST_HITS = 10_000
 K1, B = 1.2, 0.75
 
 
@@ -80,6 +83,7 @@ def lexical_scores(post: DataFrame, lengths: DataFrame, query: str) -> DataFrame
     """(doc_id, score): BM25 of every document with a hit. Statistics are those of the whole index.
 
     Each query piece is a phrase within one field whose last token is a prefix; a piece that comes twice counts twice.
+    The postings are read once, with the filters of all pieces pushed down to the scan.
     """
     phrases = query_phrases(query)
     empty = lengths.select("doc_id", F.lit(0.0).alias("score")).limit(0)
@@ -87,18 +91,19 @@ def lexical_scores(post: DataFrame, lengths: DataFrame, query: str) -> DataFrame
     if not phrases or not stats["n_docs"]:
         return empty
     n, mean = stats["n_docs"], stats["total_tokens"] / stats["n_docs"]
-    hits = None
-    for number, tokens in enumerate(phrases):
-        at = None
-        for k, t in enumerate(tokens):
-            match = F.col("token").startswith(t) if k == len(tokens) - 1 else F.col("token") == t
-            here = post.where(match).select("doc_id", "field", (F.col("pos") - k).alias("start"))
-            at = here if at is None else at.join(here, ["doc_id", "field", "start"])
-        one = at.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tf")).withColumn("phrase", F.lit(number))
-        hits = one if hits is None else hits.unionAll(one)
+    # one scan: a posting is tagged with every (phrase, place) that it can stand for
+    places = [(number, k, t, k == len(tokens) - 1) for number, tokens in enumerate(phrases) for k, t in enumerate(tokens)]
+    match = lambda t, last: F.col("token").startswith(t) if last else F.col("token") == t
+    tags = F.array(*[F.when(match(t, last), F.struct(F.lit(number).alias("phrase"), F.lit(k).alias("k"))) for number, k, t, last in places])
+    found = post.where(reduce(lambda x, y: x | y, [match(t, last) for _, _, t, last in places]))
+    at = found.select("doc_id", "field", "pos", F.explode(F.array_compact(tags)).alias("x")).select("doc_id", "field", (F.col("pos") - F.col("x.k")).alias("start"), "x.phrase")
+    if max(map(len, phrases)) > 1:  # a phrase has all its places
+        length = F.element_at(F.array(*[F.lit(len(x)) for x in phrases]), F.col("phrase") + 1)
+        at = at.groupBy("doc_id", "field", "start", "phrase").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == length)
+    hits = at.groupBy("doc_id", "phrase").agg(F.count(F.lit(1)).alias("tf"))
     df = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
     idf = F.log((F.lit(n) - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    scored = hits.join(df, "phrase").join(lengths, "doc_id")
+    scored = hits.join(F.broadcast(df), "phrase").join(lengths, "doc_id")  # a row per piece of the query
     part = F.when(idf <= 0, 1e-6).otherwise(idf) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))
     return scored.groupBy("doc_id").agg(F.sum(part).alias("score"))
 
@@ -147,8 +152,11 @@ def rerank(hits: DataFrame, penalty: int = PENALTY) -> DataFrame:
 def collapse(hits: DataFrame, threshold: float = COLLAPSE) -> DataFrame:
     """``hits`` (doc_id, rank, words, ...) without those whose words are like those of a kept one further up.
 
-    Hits with no words (all that are no turns) are kept and drop nothing. The hits of one request are gathered in one row.
+    Hits with no words (all that are no turns) are kept and drop nothing. The hits of one request are gathered in one
+    row; more than MOST_HITS raise ValueError.
     """
+    if hits.limit(MOST_HITS + 1).count() > MOST_HITS:
+        raise ValueError(f"more than {MOST_HITS} hits to collapse")
     one = F.array_sort(F.collect_list(F.struct("rank", "doc_id", "words")))
     none = F.array().cast("array<struct<rank:int,doc_id:string,words:array<string>>>")
     like = lambda kept, x: F.exists(kept, lambda y: (F.size(y["words"]) > 0) & (jaccard(x["words"], y["words"]) >= threshold))

@@ -1,17 +1,20 @@
-"""Versioned Parquet tables with an atomic pointer, and the maintenance of the index on them.
-
-A table is a folder of versions; a small pointer file names the current one and is replaced as a whole after the new
-version is written, so a reader sees one version or the other and a failed write leaves the old one. All file
-access goes through Hadoop's FileSystem, so a home on shared storage works as a local one does. An upsert is an
-anti-join and a union: the last version of an id wins.
+"""Versioned Parquet tables under one atomic pointer, and the maintenance of the index on them.
+
+A table is cut into buckets by a hash of its key, and every bucket has a version of its own. One small file names the
+current version of each bucket of all tables and is replaced as a whole, by an atomic rename, after everything new is
+written: a reader sees all tables before a change or all after it, and a write that fails anywhere changes nothing. A
+change rewrites the buckets it touches, whose number grows with the documents, so that a bucket stays of one size.
+All file access goes through Hadoop's file systems, so a home on shared storage works as a local one does. There is
+one writer at a time.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +36,11 @@ SCHEMAS = {
 }
 
 
+KEYS = {"documents": "id", "postings": "doc_id", "doc_len": "doc_id", "vectors": "doc_id", "index_state": "key"}
+#: Buckets of a new index, and documents of a bucket from which their number is multiplied by GROWTH.
+BUCKETS, BUCKET_DOCUMENTS, GROWTH = 16, 200_000, 4
+
+
 def conform(df: DataFrame, schema: T.StructType = DOCUMENT) -> DataFrame:
     """``df`` with exactly the columns of ``schema``; missing ones are NULL, further ones are dropped."""
     have = set(df.columns)
@@ -64,46 +72,79 @@ class Store:
 
     def __init__(self, spark: SparkSession, home: str):
         self.spark, self.home = spark, home.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._jvm = spark.sparkContext._jvm
+        self._path = self._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.home).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(self.home))
 
     # -- versions ---------------------------------------------------------------------------------------------
-    def _current(self, name: str) -> str | None:
-        p = self._path(f"{self.home}/{name}/CURRENT")
+    def _manifest(self) -> dict:
+        """The current versions: {buckets, rows, tables: {name: {bucket: version}}, before: {name: [version]}}."""
+        p = self._path(f"{self.home}/CURRENT")
         if not self._fs.exists(p):
-            return None
+            if any(self._versions(name) for name in SCHEMAS):
+                raise RuntimeError(f"{self.home} has tables but no CURRENT file; nothing is read or deleted before it is restored")
+            return {"buckets": BUCKETS, "rows": 0, "tables": {}, "before": {}}
         stream = self._fs.open(p)
         try:
-            return bytes(stream.readAllBytes()).decode()
+            return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
-    def read(self, name: str) -> DataFrame:
-        """The current version of a table, empty before the first."""
-        v = self._current(name)
-        schema = SCHEMAS[name]
-        return self.spark.read.schema(schema).parquet(f"{self.home}/{name}/{v}") if v else self.spark.createDataFrame([], schema)
+    def _versions(self, name: str) -> list[str]:
+        folder = self._path(f"{self.home}/{name}")
+        return [f.getPath().getName() for f in self._fs.listStatus(folder) if f.isDirectory()] if self._fs.exists(folder) else []
 
-    def write(self, name: str, df: DataFrame) -> None:
-        """A new version of a table. The one it replaces stays until the next write, as plans may still read it."""
-        old = self._current(name)
-        v = f"v-{uuid.uuid4().hex}"
-        out = conform(df, SCHEMAS[name])
-        if name == "postings":  # sorted by token, so that a prefix reads few row groups
-            out = out.repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id")
-        out.write.parquet(f"{self.home}/{name}/{v}")
-        tmp, to = self._path(f"{self.home}/{name}/.{v}"), self._path(f"{self.home}/{name}/CURRENT")
-        stream = self._fs.create(tmp, True)
-        stream.write(v.encode())
+    def _point(self, manifest: dict) -> None:
+        """Replaces the pointer by an atomic rename."""
+        tmp = f"{self.home}/.{uuid.uuid4().hex}"
+        stream = self._fs.create(self._path(tmp), True)
+        stream.write(json.dumps(manifest).encode())
         stream.close()
-        if old:
-            self._fs.delete(to, False)
-        self._fs.rename(tmp, to)
-        for f in self._fs.listStatus(self._path(f"{self.home}/{name}")):
-            if f.isDirectory() and f.getPath().getName() not in (v, old):
-                self._fs.delete(f.getPath(), True)
+        rename = self._jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(context.makeQualified(self._path(tmp)), context.makeQualified(self._path(f"{self.home}/CURRENT")), how)
+
+    def read(self, name: str, buckets: set[int] | None = None) -> DataFrame:
+        """The current version of a table, or of some of its buckets; empty before the first."""
+        of = self._manifest()["tables"].get(name, {})
+        paths = [f"{self.home}/{name}/{v}/_b={b}" for b, v in of.items() if buckets is None or int(b) in buckets]
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMAS[name])
+
+    def write(self, name: str, df: DataFrame) -> None:
+        """A new version of a whole table."""
+        self.replace({name: df})
+
+    def replace(self, tables: dict[str, DataFrame], touched: set[int] | None = None, rows: int | None = None, buckets: int | None = None) -> None:
+        """New versions of tables, or of their ``touched`` buckets, all at once. What they replace stays until the next
+        change, as plans may still read it. ``rows``: documents after the change; ``buckets``: their new number."""
+        m = self._manifest()
+        count, v = buckets or m["buckets"], f"v-{uuid.uuid4().hex}"
+        after = {name: dict(of) for name, of in m["tables"].items()}
+        for name, df in tables.items():
+            key = KEYS[name]
+            order = ["_b", "token", "doc_id"] if name == "postings" else ["_b", key]  # by token, so that a prefix reads few row groups
+            out = conform(df, SCHEMAS[name]).withColumn("_b", self._bucket(F.col(key), count))
+            out.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("_b").parquet(f"{self.home}/{name}/{v}")
+            new = {f.getPath().getName()[3:]: v for f in self._fs.listStatus(self._path(f"{self.home}/{name}/{v}")) if f.getPath().getName().startswith("_b=")}
+            kept = {} if touched is None else {b: x for b, x in after.get(name, {}).items() if int(b) not in touched}
+            after[name] = kept | new
+        before = {name: sorted(set(of.values())) for name, of in m["tables"].items()}
+        self._point({"buckets": count, "rows": m["rows"] if rows is None else rows, "tables": after, "before": before})
+        for name in SCHEMAS:  # only what neither this pointer nor the last one names goes
+            for x in self._versions(name):
+                if x not in after.get(name, {}).values() and x not in before.get(name, []):
+                    self._fs.delete(self._path(f"{self.home}/{name}/{x}"), True)
+
+    @staticmethod
+    def _bucket(key: Column, count: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
+
+    def _touched(self, ids: DataFrame) -> set[int]:
+        """The buckets of keys (one column)."""
+        return {r[0] for r in ids.select(self._bucket(F.col(ids.columns[0]), self._manifest()["buckets"])).distinct().collect()}
 
     # -- documents --------------------------------------------------------------------------------------------
     def upsert(self, docs: DataFrame, masked: bool = True, vectors: DataFrame | None = None) -> int:
@@ -119,30 +160,34 @@ class Store:
         if masked:
             texts = ["text", "title", "question", "answer", "answer_summary", "summary"]
             new = redact_columns(new, texts).drop("n_masked")
-        old = self.read("documents")
-        new = cut(last_writer(old.limit(0), new))
+        new = cut(last_writer(self.spark.createDataFrame([], DOCUMENT), new))
         n = new.count()
         if not n:
             return 0
+        m = self._manifest()
+        grown = m["rows"] + n > BUCKET_DOCUMENTS * m["buckets"]
+        touched = None if grown else self._touched(new.select("id"))
+        old = self.read("documents", touched)
         same = new.join(old.select("id", F.col("text").alias("_t")), "id").where(F.col("text").eqNullSafe(F.col("_t"))).select(F.col("id").alias("doc_id"))
         ids = new.select(F.col("id").alias("doc_id"))
         indexed = new.withColumn("text", F.when(F.coalesce("summary", F.lit("")) != "", F.concat_ws("\n", "summary", "text")).otherwise(F.col("text")))
-        kept = self.read("vectors").join(ids.join(same, "doc_id", "left_anti"), "doc_id", "left_anti")
+        kept = self.read("vectors", touched).join(ids.join(same, "doc_id", "left_anti"), "doc_id", "left_anti")
         if vectors is not None:
             fresh = conform(vectors, SCHEMAS["vectors"])
             kept = kept.join(fresh.select("doc_id"), "doc_id", "left_anti").unionByName(fresh)
         tables = {
             "documents": old.join(new.select("id"), "id", "left_anti").unionByName(new),
-            "postings": self.read("postings").join(ids, "doc_id", "left_anti").unionByName(conform(postings(indexed), SCHEMAS["postings"])),
-            "doc_len": self.read("doc_len").join(ids, "doc_id", "left_anti").unionByName(conform(doc_lengths(indexed), SCHEMAS["doc_len"])),
+            "postings": self.read("postings", touched).join(ids, "doc_id", "left_anti").unionByName(conform(postings(indexed), SCHEMAS["postings"])),
+            "doc_len": self.read("doc_len", touched).join(ids, "doc_id", "left_anti").unionByName(conform(doc_lengths(indexed), SCHEMAS["doc_len"])),
             "vectors": kept,
         }
-        for name, df in tables.items():
-            self.write(name, df)
+        known = old.join(ids.withColumnRenamed("doc_id", "id"), "id", "left_semi").count()
+        self.replace(tables, touched, m["rows"] + n - known, m["buckets"] * GROWTH if grown else None)
         return n
 
     def get(self, doc_id: str) -> DataFrame:
-        return self.read("documents").where(F.col("id") == doc_id)
+        """The document of an id, read from its bucket alone."""
+        return self.read("documents", self._touched(self.spark.createDataFrame([(doc_id,)], "id string"))).where(F.col("id") == doc_id)
 
     def _delete(self, gone: DataFrame) -> int:
         from ..session import cut
@@ -150,9 +195,9 @@ class Store:
         gone = cut(gone.select(F.col("id").alias("doc_id")))
         n = gone.count()
         if n:
-            self.write("documents", self.read("documents").join(gone.withColumnRenamed("doc_id", "id"), "id", "left_anti"))
-            for name in ("postings", "doc_len", "vectors"):
-                self.write(name, self.read(name).join(gone, "doc_id", "left_anti"))
+            touched = self._touched(gone)
+            tables = {name: self.read(name, touched).join(gone.withColumnRenamed("doc_id", KEYS[name]), KEYS[name], "left_anti") for name in ("documents", "postings", "doc_len", "vectors")}
+            self.replace(tables, touched, self._manifest()["rows"] - n)
         return n
 
     def delete_by_path(self, source_type: str, repo: str, path: str) -> int:
@@ -177,8 +222,7 @@ class Store:
     def reset(self) -> int:
         """Empties all tables; returns the number of documents there were."""
         n = self.read("documents").count()
-        for name, schema in SCHEMAS.items():
-            self.write(name, self.spark.createDataFrame([], schema))
+        self.replace({name: self.spark.createDataFrame([], schema) for name, schema in SCHEMAS.items()}, rows=0)
         return n
 
     def rescan(self) -> int:
@@ -209,7 +253,10 @@ class Store:
     def set_states(self, states: DataFrame | dict[str, str]) -> None:
         """Puts many states (key, value) in at once."""
         df = self.spark.createDataFrame(list(states.items()), SCHEMAS["index_state"]) if isinstance(states, dict) else states
-        self.write("index_state", last_writer(self.read("index_state"), conform(df, SCHEMAS["index_state"]), "key"))
+        df = conform(df, SCHEMAS["index_state"]).where("key is not null")
+        touched = self._touched(df.select("key"))
+        if touched:
+            self.replace({"index_state": last_writer(self.read("index_state", touched), df, "key")}, touched)
 
     def delete_states(self, keys: list[str]) -> None:
         drop = reduce(lambda a, b: a | b, [F.col("key") == k for k in keys], F.lit(False))

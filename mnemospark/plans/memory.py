@@ -279,10 +279,12 @@ def token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return p.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("df"), F.max("pos").cast("long").alias("last_pos"))
 
 
-_POST = (
-    "SELECT doc_id, 'title' AS field, unnest(generate_series(0, len(t) - 1)) AS pos, unnest(t) AS token FROM (SELECT doc_id, " + _TOKENS.format("title") + " AS t FROM documents)"
-    " UNION ALL SELECT doc_id, 'text', unnest(generate_series(0, len(t) - 1)), unnest(t) FROM (SELECT doc_id, " + _TOKENS.format("text") + " AS t FROM documents)"
-)
+def _post_sql(corpus: str = "documents") -> str:
+    one = lambda f: f"SELECT doc_id, '{f}' AS field, unnest(generate_series(0, len(t) - 1)) AS pos, unnest(t) AS token FROM (SELECT doc_id, {_TOKENS.format(f)} AS t FROM {corpus})"
+    return one("title") + " UNION ALL " + one("text")
+
+
+_POST = _post_sql()
 TOKEN_COUNTS = f"SELECT token, count(*) AS n, count(DISTINCT doc_id) AS df, max(pos)::BIGINT AS last_pos FROM ({_POST}) GROUP BY token"
 
 
@@ -299,7 +301,7 @@ def _lexical(spark: SparkSession, sf: str, query: str, k: int, **filters) -> Dat
     return _long(top.select("doc_id", F.round("score", 6).alias("score"), "rank"), "rank")
 
 
-def _lexical_sql(query: str, k: int, where: str = "true", shape: str = "SELECT doc_id, round(score, 6) AS score, rank::BIGINT AS rank FROM top") -> str:
+def _lexical_sql(query: str, k: int, where: str = "true", shape: str = "SELECT doc_id, round(score, 6) AS score, rank::BIGINT AS rank FROM top", corpus: str = "") -> str:
     parts = []
     for n, tokens in enumerate(search.query_phrases(query)):
         frm, cond = [], []
@@ -310,12 +312,12 @@ def _lexical_sql(query: str, k: int, where: str = "true", shape: str = "SELECT d
                 cond.append(f"p{i}.doc_id = p0.doc_id AND p{i}.field = p0.field AND p{i}.pos = p0.pos + {i}")
         parts.append(f"SELECT p0.doc_id, {n} AS phrase, count(*) AS tf FROM {', '.join(frm)} WHERE {' AND '.join(cond)} GROUP BY p0.doc_id")
     return f"""
-WITH p AS MATERIALIZED ({_POST}), dl AS (SELECT doc_id, len({_TOKENS.format("title")}) + len({_TOKENS.format("text")}) AS dl FROM documents),
+WITH p AS MATERIALIZED ({_post_sql(corpus or "documents")}), dl AS (SELECT doc_id, len({_TOKENS.format("title")}) + len({_TOKENS.format("text")}) AS dl FROM {corpus or "documents"}),
      st AS (SELECT count(*) AS n, sum(dl) / count(*) AS mean FROM dl), h AS ({" UNION ALL ".join(parts)}),
      df AS (SELECT phrase, count(*) AS df FROM h GROUP BY phrase),
      sc AS (SELECT doc_id, sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) AS score
             FROM h JOIN df USING (phrase) JOIN dl USING (doc_id), st GROUP BY doc_id),
-     top AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM sc WHERE doc_id IN (SELECT doc_id FROM ({_D}) WHERE {where}) QUALIFY rank <= {k})
+     top AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM sc WHERE doc_id IN (SELECT doc_id FROM {corpus or '(' + _D + ')'} WHERE {where}) QUALIFY rank <= {k})
 {shape}
 """
 
@@ -384,44 +386,99 @@ SELECT doc_id, round(score, 8) AS score, row_number() OVER (ORDER BY round(score
 """
 
 
+REQUEST = "why does the retry in the counter skip a guard"
+_TALK = f"(SELECT turn_id AS doc_id, session_title AS title, concat_ws(chr(10), question, answer) AS text FROM ({_T}))"
+
+
+def _request(spark: SparkSession, sf: str) -> DataFrame:
+    """The hits (turn_id, rank) of a text request to all turns: the pool that re-ranking and collapsing work on."""
+    t = _turns(spark, sf).select(F.col("turn_id").alias("id"), F.col("session_title").alias("title"), F.concat_ws("\n", "question", "answer").alias("text"))
+    return search.lexical_topk(t, REQUEST, 300).select(F.col("doc_id").alias("turn_id"), "rank")
+
+
+_REQUEST = _lexical_sql(REQUEST, 300, shape="SELECT doc_id AS turn_id, rank FROM top", corpus=_TALK)
+
+
 def rerank(spark: SparkSession, sf: str) -> DataFrame:
-    """The newest 200 turns with those that are no work further down; re-ranking works on the hits of one request."""
-    t = _turns(spark, sf)
-    w = Window.orderBy(F.desc("t"), "turn_id")
-    newest = t.where("t is not null").orderBy(F.desc("t"), "turn_id").limit(200).withColumn("rank", F.row_number().over(w))
-    works = work_signal(spark, sf)
-    return _long(search.rerank(newest.select("turn_id", "rank").join(works, "turn_id")).select("turn_id", "rank"), "rank")
+    """The hits of a request with those that are no work further down."""
+    return _long(search.rerank(work_signal(spark, sf).join(F.broadcast(_request(spark, sf)), "turn_id")).select("turn_id", "rank"), "rank")
 
 
 RERANK = f"""
-WITH n AS (SELECT turn_id, row_number() OVER (ORDER BY when_ts DESC, turn_id) AS rank FROM ({_T}) WHERE when_ts IS NOT NULL QUALIFY rank <= 200), w AS ({WORK_SIGNAL})
+WITH n AS ({_REQUEST}), w AS ({WORK_SIGNAL})
 SELECT turn_id, row_number() OVER (ORDER BY rank + CASE WHEN works THEN 0 ELSE 8 END, rank)::BIGINT AS rank FROM n JOIN w USING (turn_id)
 """
 
 
 def dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """The newest 300 turns without repeated questions: a top-k report, as collapsing works on the hits of one request."""
-    t = _turns(spark, sf).where("t is not null").orderBy(F.desc("t"), "turn_id").limit(300)
-    t = t.select(F.col("turn_id").alias("doc_id"), F.row_number().over(Window.orderBy(F.desc("t"), "turn_id")).alias("rank"), X.word_set(F.col("question")).alias("words"))
-    return search.collapse(t).select(F.col("doc_id").alias("turn_id"), F.col("rank").cast("long").alias("rank"))
-
-
-DEDUP = f"""
-WITH RECURSIVE t AS (SELECT turn_id, row_number() OVER (ORDER BY when_ts DESC, turn_id) AS rank, {_WORDS.format("question")} AS w FROM ({_T}) WHERE when_ts IS NOT NULL QUALIFY rank <= 300),
-     x AS (SELECT a.rank AS a, b.rank AS b FROM t a JOIN t b ON a.rank > b.rank AND len(list_intersect(a.w, b.w)) >= 0.8 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) AND len(a.w) > 0),
-     k AS (SELECT 0 AS rank, CAST([] AS BIGINT[]) AS kept UNION ALL
-           SELECT k.rank + 1, CASE WHEN EXISTS (SELECT 1 FROM x WHERE x.a = k.rank + 1 AND list_contains(k.kept, x.b)) THEN kept ELSE list_append(kept, k.rank + 1) END FROM k WHERE k.rank < (SELECT max(rank) FROM t))
-SELECT turn_id, t.rank::BIGINT AS rank FROM t WHERE list_contains((SELECT kept FROM k ORDER BY k.rank DESC LIMIT 1), t.rank)
+    """The hits of a request without repeated questions."""
+    t = _turns(spark, sf).select("turn_id", X.word_set(F.col("question")).alias("words")).join(F.broadcast(_request(spark, sf)), "turn_id")
+    return search.collapse(t.withColumnRenamed("turn_id", "doc_id")).select(F.col("doc_id").alias("turn_id"), F.col("rank").cast("long").alias("rank"))
+
+
+def _collapse_sql(hits: str, result: str) -> str:
+    """Of ``hits`` (id, rank, w) those that are not like a kept one further up, as ``result`` over t and kept ranks."""
+    return f"""
+WITH RECURSIVE t AS MATERIALIZED ({hits}),
+     x AS MATERIALIZED (SELECT a.rank AS a, b.rank AS b FROM t a JOIN t b ON a.rank > b.rank AND len(list_intersect(a.w, b.w)) >= 0.8 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) AND len(a.w) > 0),
+     k AS (SELECT 0::BIGINT AS rank, CAST([] AS BIGINT[]) AS kept UNION ALL
+           SELECT k.rank + 1, CASE WHEN EXISTS (SELECT 1 FROM x WHERE x.a = k.rank + 1 AND list_contains(k.kept, x.b)) THEN kept ELSE list_append(kept, k.rank + 1) END FROM k WHERE k.rank < (SELECT max(rank) FROM t)),
+     z AS (SELECT kept FROM k ORDER BY k.rank DESC LIMIT 1)
+{result}
 """
 
 
-def retrieve_full(spark: SparkSession, sf: str) -> DataFrame:
+DEDUP = _collapse_sql(
+    f"SELECT turn_id, rank::BIGINT AS rank, {_WORDS.format('question')} AS w FROM ({_REQUEST}) JOIN ({_T}) USING (turn_id)", "SELECT turn_id, rank FROM t WHERE list_contains((SELECT kept FROM z), t.rank)"
+)
+
+
+def _memory(spark: SparkSession, sf: str) -> DataFrame:
+    """All turns and documents in one shape, as the index holds them: turns with their times, files and linked commits."""
+    none = F.array().cast("array<string>")
+    linked = _links(spark, sf).groupBy("turn_id").agg(F.collect_list(F.struct("kind")).alias("commits"))
+    t = _turns(spark, sf).drop("commits").join(linked, "turn_id", "left").select(
+        F.concat(F.lit("t"), "turn_id").alias("id"), F.lit("agent_turn").alias("source_type"), "repo", F.col("session_title").alias("title"), F.concat_ws("\n", "question", "answer").alias("text"),
+        F.timestamp_micros("t").alias("ts"), "question", F.coalesce("files", none).alias("files"), "commits",
+    )
     d = _docs(spark, sf).select(
-        F.col("doc_id").cast("string").alias("id"), "source_type", "repo", "title", "text", F.lit(None).cast("timestamp").alias("ts"),
-        F.when(F.col("source_type") == "agent_turn", X.first_line(F.col("text"), 400)).alias("question"),
-        F.array().cast("array<string>").alias("files"), F.array().cast("array<struct<kind:string>>").alias("commits"),
+        F.concat(F.lit("d"), "doc_id").alias("id"), "source_type", "repo", "title", "text", F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("string").alias("question"),
+        none.alias("files"), F.lit(None).cast("array<struct<kind:string>>").alias("commits"),
     )
-    return _long(search.retrieve(d, QUERY, 10), "rank")
+    return t.unionByName(d)
+
+
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """One vector a document of the current model."""
+    v = table(spark, sf, "vectors").where("model_id = 'hash64-v1' and vec is not null and doc_id is not null")
+    one = v.groupBy("doc_id").agg(F.min(F.struct("vec_id", "vec")).alias("x"))
+    return one.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), F.col("x.vec").alias("vec"))
+
+
+def retrieve_full(spark: SparkSession, sf: str) -> DataFrame:
+    """Hybrid retrieval over all turns and documents: text and vector lists fused, work before talk, repeats collapsed."""
+    v = table(spark, sf, "vectors").where("model_id = 'hash64-v1' and vec is not null").orderBy("vec_id").select("vec").first()
+    return _long(search.retrieve(_memory(spark, sf), REQUEST, 10, vectors=_vectors(spark, sf), query_vector=list(v[0]) if v else None), "rank")
+
+
+_MEMORY = f"""(SELECT 't' || turn_id AS doc_id, 'agent_turn' AS source_type, session_title AS title, concat_ws(chr(10), question, answer) AS text, question FROM ({_T})
+ UNION ALL SELECT 'd' || doc_id, source_type, title, text, NULL FROM ({_D}))"""
+RETRIEVE = _collapse_sql(
+    f"""
+SELECT doc_id, row_number() OVER (ORDER BY rank + CASE WHEN source_type <> 'agent_turn' OR works THEN 0 ELSE 8 END, rank)::BIGINT AS rank,
+       CASE WHEN source_type = 'agent_turn' THEN {_WORDS.format("coalesce(nullif(question, ''), nullif(title, ''), text)")} ELSE [] END AS w
+FROM (SELECT doc_id, row_number() OVER (ORDER BY round(score, 12) DESC, seen) AS rank
+      FROM (SELECT doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score, min(l * 1000000 + rank) AS seen
+            FROM (SELECT doc_id, 0 AS l, rank FROM ({_lexical_sql(REQUEST, 60, corpus=_MEMORY)})
+                  UNION ALL SELECT doc_id, 1, row_number() OVER (ORDER BY score DESC, doc_id) AS rank
+                  FROM (SELECT 'd' || doc_id AS doc_id, list_dot_product(v::DOUBLE[], q) / (sqrt(list_dot_product(v::DOUBLE[], v::DOUBLE[])) * sqrt(list_dot_product(q, q)) + 1e-9) AS score
+                        FROM (SELECT doc_id, arg_min(vec, vec_id) AS v FROM vectors WHERE model_id = 'hash64-v1' AND vec IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
+                             (SELECT arg_min(vec, vec_id)::DOUBLE[] AS q FROM vectors WHERE model_id = 'hash64-v1' AND vec IS NOT NULL)
+                        WHERE doc_id IN (SELECT doc_id FROM documents)) QUALIFY rank <= 60)
+            GROUP BY doc_id) QUALIFY rank <= 30)
+JOIN {_MEMORY} USING (doc_id) LEFT JOIN (SELECT 't' || turn_id AS doc_id, works FROM ({WORK_SIGNAL})) USING (doc_id)""",
+    "SELECT doc_id, row_number() OVER (ORDER BY rank)::BIGINT AS rank FROM t WHERE list_contains((SELECT kept FROM z), t.rank) QUALIFY rank <= 10",
+)
 
 
 # -- maintenance ------------------------------------------------------------------------------------------------
@@ -466,8 +523,10 @@ def get_by_id(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _versions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """All documents as an index has them, and a later pass over the code, in which every file has changed."""
     d = table(spark, sf, "documents").select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), F.lit(1).cast("long").alias("version"))
-    return d.where("substr(digest, 1, 1) <> '0'"), d.where("substr(digest, 2, 1) < '8'").withColumns({"digest": F.reverse("digest"), "version": F.lit(2).cast("long")})
+    code = d.join(_docs(spark, sf).where("source_type = 'code'").select("doc_id"), "doc_id", "left_semi")
+    return d, code.withColumns({"digest": F.reverse("digest"), "version": F.lit(2).cast("long")})
 
 
 def upsert_last_writer(spark: SparkSession, sf: str) -> DataFrame:
@@ -477,8 +536,8 @@ def upsert_last_writer(spark: SparkSession, sf: str) -> DataFrame:
 
 _OLD = "SELECT doc_id, md5(coalesce(text, '')) AS digest, 1::BIGINT AS version FROM documents"
 UPSERT = f"""
-WITH d AS ({_OLD}), n AS (SELECT doc_id, reverse(digest) AS digest, 2::BIGINT AS version FROM d WHERE substr(digest, 2, 1) < '8')
-SELECT * FROM n UNION ALL SELECT * FROM d WHERE substr(digest, 1, 1) <> '0' AND doc_id NOT IN (SELECT doc_id FROM n)
+WITH d AS ({_OLD}), n AS (SELECT doc_id, reverse(digest) AS digest, 2::BIGINT AS version FROM d WHERE doc_id IN (SELECT doc_id FROM ({_D}) WHERE source_type = 'code'))
+SELECT * FROM n UNION ALL SELECT * FROM d WHERE doc_id NOT IN (SELECT doc_id FROM n)
 """
 
 
@@ -489,7 +548,7 @@ def manifest_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 
 MANIFEST = f"""
-WITH d AS ({_OLD}), o AS (SELECT * FROM d WHERE substr(digest, 1, 1) <> '0'), n AS (SELECT doc_id, reverse(digest) AS digest FROM d WHERE substr(digest, 2, 1) < '8')
+WITH o AS ({_OLD}), n AS (SELECT doc_id, reverse(digest) AS digest FROM o WHERE doc_id IN (SELECT doc_id FROM ({_D}) WHERE source_type = 'code'))
 SELECT n.doc_id, 'changed' AS state FROM n LEFT JOIN o USING (doc_id) WHERE o.digest IS NULL OR o.digest <> n.digest
 UNION ALL SELECT o.doc_id, 'stale' FROM o LEFT JOIN n USING (doc_id) WHERE n.doc_id IS NULL
 """
@@ -538,7 +597,7 @@ SQL = {
     "lexical_filtered": _lexical_sql(QUERY, 20, "source_type = 'note'"), "lexical_prefix": _lexical_sql(PREFIX_QUERY, 30), "lexical_phrase": _lexical_sql(PHRASE_QUERY, 30),
     "vector_topk": _vector_sql(20), "vector_filtered": _vector_sql(10, "label >= 5"),
     "vector_dim_mismatch": "SELECT vec_id AS doc_id, 0.0::DOUBLE AS score, 0::BIGINT AS rank FROM embeddings WHERE false",
-    "hybrid_topk": HYBRID_TOPK, "rerank": RERANK, "dedup": DEDUP, "recent": RECENT, "since_filter": SINCE_FILTER, "stats_by_dimension": STATS,
+    "hybrid_topk": HYBRID_TOPK, "rerank": RERANK, "dedup": DEDUP, "retrieve_full": RETRIEVE, "recent": RECENT, "since_filter": SINCE_FILTER, "stats_by_dimension": STATS,
     "distinct_paths": f"SELECT DISTINCT repo, path FROM ({_D}) WHERE source_type = 'code'", "get_by_id": "SELECT doc_id, id, repo, title FROM documents WHERE doc_id = 17",
     "upsert_last_writer": UPSERT, "manifest_diff": MANIFEST, "forget_repo": FORGET, "citation": CITATION,
 }
