@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import os
 import sys
 
 from . import __version__
@@ -16,7 +15,7 @@ from .streaming.watch import watch
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="mnemospark", description="A document memory on Spark")
     p.add_argument("--version", action="version", version=__version__)
-    p.add_argument("--home", default=os.environ.get("MNEMOSPARK_HOME", os.path.expanduser("~/.mnemospark")))
+    p.add_argument("--home")
     s = p.add_subparsers(dest="command", required=True)
     i = s.add_parser("index")
     i.add_argument("--source", choices=("all", "agent", "code", "commits"), default="all")
@@ -32,11 +31,14 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--repo")
     r.add_argument("--type", default="")
     r.add_argument("--since", default="")
+    r.add_argument("--no-embed", action="store_true")
     n = s.add_parser("note")
     n.add_argument("text", nargs="?")
     where = n.add_mutually_exclusive_group()
     where.add_argument("--repo")
     where.add_argument("--global", dest="everywhere", action="store_true")
+    for flag in ("no-embed", "no-redact"):
+        n.add_argument(f"--{flag}", action="store_true")
     s.add_parser("stats")
     f = s.add_parser("forget")
     what = f.add_mutually_exclusive_group(required=True)
@@ -49,12 +51,12 @@ def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     e = MemoryEngine(local_session(), a.home, masked=not getattr(a, "no_redact", False), hashing=not getattr(a, "no_embed", False))
     if a.command == "index":
-        roots = {k: v for k in ("claude", "codex", "gemini") if (v := getattr(a, f"{k}_sessions"))}
+        roots = e.settings.sessions | {k: v for k in ("claude", "codex", "gemini") if (v := getattr(a, f"{k}_sessions"))}
         one = lambda again=False: e.index(a.source, a.path, roots, again, not a.no_prune)
         for source, counts in one(a.reindex).items():
             print(source, ", ".join(f"{k} {v}" for k, v in counts.items()))
         if a.watch:
-            q = watch(e.spark, one, f"{a.home}/watch", a.interval)
+            q = watch(e.spark, one, f"{e.store.home}/watch", a.interval)
             try:
                 q.awaitTermination()
             except KeyboardInterrupt:
@@ -67,6 +69,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "stats":
         for r in sorted(e.stats().collect(), key=lambda r: (r["dimension"], -r["n"])):
             print(r["dimension"], r["value"] or "(none)", r["n"])
+        print("newest", e.last_time() or "(none)")
     elif a.command == "forget":
         print({"documents": e.reset()} if a.all else e.forget(a.repo))
     return 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import warnings
 from datetime import UTC, datetime
 from functools import reduce
 from itertools import islice
@@ -10,15 +11,16 @@ from itertools import islice
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.embed import Embedder, HashingEmbedder, embed
+from .functions.embed import Embedder, HashingEmbedder, embed, fill_missing
 from .functions.instants import add_instant
 from .functions.text import first_line, is_indexable, make_id, strip
 from .operators import search, sessions
 from .operators.chunking import code_documents
-from .operators.linking import WINDOW_MIN, link_commits
+from .operators.linking import link_commits
 from .operators.store import COMMIT, DOCUMENT, Store, changed, stale
 from .plans import render
 from .session import cut
+from .settings import Settings
 from .sources import files, git
 
 #: Directories whose commit logs one job reads; all are read, batch after batch.
@@ -27,31 +29,58 @@ STATE_PREFIX = {"claude": "agent", "codex": "codex", "gemini": "gemini"}
 
 
 class MemoryEngine:
-    """A document memory. ``embedder=None`` turns vectors off; ``masked=False`` stores secrets as they are."""
+    """A document memory. Without an embedder (and without ``hashing``) there are no vectors; ``masked=False`` stores
+    secrets as they are; ``settings`` that are not given come from the environment."""
 
-    def __init__(self, spark: SparkSession, home: str, embedder: Embedder | None = None, masked: bool = True, hashing: bool = False):
-        self.spark, self.store, self.masked = spark, Store(spark, home), masked
-        self.embedder = embedder or (HashingEmbedder() if hashing else None)
+    def __init__(
+        self, spark: SparkSession, home: str | None = None, embedder: Embedder | None = None, masked: bool = True, hashing: bool = False, settings: Settings | None = None
+    ):
+        self.settings = settings or Settings()
+        self.spark, self.store, self.masked = spark, Store(spark, home or self.settings.home), masked
+        self.embedder = embedder or (HashingEmbedder() if hashing and self.settings.embed_backend != "none" else None)
+        self._warned = False
 
     # -- writing ----------------------------------------------------------------------------------------------
     def _put(self, docs: DataFrame) -> int:
         from .functions.redact import redact_columns
 
-        docs = redact_columns(docs, ["text"]).drop("n_masked") if self.masked else docs  # vectors are made of masked text
+        entropy = self.settings.redact_entropy
+        docs = redact_columns(docs, ["text"], high_entropy=entropy).drop("n_masked") if self.masked else docs  # vectors are made of masked text
         docs = cut(docs)
         vectors = None
         if self.embedder:
             vectors = embed(docs, self.embedder)
             if self.store.embedder_id() != self.embedder.model_id:
                 self.store.set_states({Store.MODEL: self.embedder.model_id})
-        return self.store.upsert(docs, self.masked, vectors)
+        return self.store.upsert(docs, self.masked, vectors, entropy)
+
+    def fill_vectors(self) -> int:
+        """Embeds the documents that have no vector of the embedder's model; returns their number."""
+        if not self.embedder:
+            return 0
+        made = cut(fill_missing(self.documents(), self.store.read("vectors"), self.embedder).where("vec is not null"))
+        n = made.count()
+        if n:
+            self.store.put_vectors(made)
+            self.store.set_states({Store.MODEL: self.embedder.model_id})
+        return n
+
+    def _mislead(self) -> bool:
+        """Whether the stored vectors are of another model than the embedder's; warns of that once."""
+        stored = self.store.embedder_id()
+        if stored in (None, self.embedder.model_id):
+            return False
+        if not self._warned:
+            self._warned = True
+            warnings.warn(f"vectors were made by {stored}, not {self.embedder.model_id}: searching text alone until the index is made again", stacklevel=3)
+        return True
 
     def index_sessions(self, agent: str, root: str, reindex: bool = False) -> dict[str, int]:
         """Indexes the session files of an agent that changed since the last pass; {turns, files, skipped}."""
         if not os.path.isdir(root):
             return {"turns": 0, "files": 0, "skipped": 0}
         prefix = STATE_PREFIX[agent]
-        manifest = files.raw_files(self.spark, root, files.SESSION_FILES[agent]).select("path", "mtime")
+        manifest = files.manifest(self.spark, root, files.SESSION_FILES[agent])
         if agent == "gemini":
             manifest = manifest.where(F.size(F.split("path", "/")) == 3)
         new = cut(manifest.select("path", F.concat(F.lit(f"{prefix}:{root.rstrip('/')}/"), "path").alias("key"), F.col("mtime").cast("string").alias("value")))
@@ -59,7 +88,7 @@ class MemoryEngine:
         work = cut(work)
         n = work.count()
         if n:
-            records = files.session_records(self.spark, agent, root).join(work.select("path"), "path", "left_semi")
+            records = files.session_records(self.spark, agent, root, work)
             turns = self._turn_documents(sessions.assemble(sessions.READERS[agent](records), "path"))
             count = self._put(turns)
             self.store.set_states(work.select("key", "value"))
@@ -73,7 +102,7 @@ class MemoryEngine:
         key = make_id("agent_turn", F.col("session_id"), F.col("t"), F.substring("question", 1, 120))
         t = cut(t.withColumn("id", key))
         log = self._commit_logs(t).withColumn("t", F.unix_micros("committed_at"))
-        links = link_commits(t.select(F.col("id").alias("turn_id"), "cwd", "t", "files"), log, WINDOW_MIN)
+        links = link_commits(t.select(F.col("id").alias("turn_id"), "cwd", "t", "files"), log, self.settings.commit_window_min)
         linked = links.groupBy("turn_id").agg(F.array_sort(F.collect_list(F.struct("rank", "short_sha", "subject", "kind"))).alias("l"))
         as_commits = F.transform("l", lambda x: F.struct(x["short_sha"].alias("hash"), x["subject"].alias("subject"), x["kind"].alias("kind")))
         out = t.join(linked.select(F.col("turn_id").alias("id"), as_commits.cast(COMMIT).alias("commits")), "id", "left")
@@ -131,13 +160,14 @@ class MemoryEngine:
         return {"commits": n}
 
     def index(self, source: str = "all", path: str = ".", session_roots: dict[str, str] | None = None, reindex: bool = False, prune: bool = True) -> dict[str, dict[str, int]]:
-        """One pass over the sources: ``agent``, ``code``, ``commits`` or ``all``."""
+        """One pass over the sources: ``agent``, ``code``, ``commits`` or ``all``. Session folders that are not given are
+        those of the settings; missing vectors are made last."""
         if source not in ("agent", "code", "commits", "all"):
             raise ValueError(f"unknown source {source}")
         out: dict[str, dict[str, int]] = {}
         if source in ("agent", "all"):
             total = {"turns": 0, "files": 0, "skipped": 0}
-            for agent, root in (session_roots or {}).items():
+            for agent, root in (self.settings.sessions if session_roots is None else session_roots).items():
                 for k, v in self.index_sessions(agent, root, reindex).items():
                     total[k] += v
             out["agent"] = total
@@ -145,6 +175,7 @@ class MemoryEngine:
             out["code"] = self.index_code(path, reindex, prune)
         if source in ("commits", "all"):
             out["commits"] = self.index_commits(path, reindex)
+        self.fill_vectors()
         return out
 
     def remember(self, text: str, repo: str = "", when: datetime | None = None) -> str | None:
@@ -174,13 +205,14 @@ class MemoryEngine:
         """The hits of a query: documents with ``rank`` and ``citation``."""
         docs = self.documents()
         vector, vectors = None, None
-        if self.embedder and self.store.embedder_id() in (None, self.embedder.model_id):  # another model's vectors would mislead
+        if self.embedder and not self._mislead():
             vector = self.embedder.embed_many([query])[0]
             vectors = self.store.read("vectors").where(F.col("model_id") == self.embedder.model_id)
         cut_off = search.parse_since(since) if isinstance(since, str) else since
         hits = search.retrieve(
-            docs, query, k, vectors=vectors, query_vector=vector, post=self.store.read("postings"), lengths=self.store.read("doc_len"), repo=repo, source_type=source_type, since=cut_off
-        )
+            docs, query, k, vectors=vectors, query_vector=vector, post=self.store.read("postings"), lengths=self.store.read("doc_len"), penalty=self.settings.work_penalty,
+            repo=repo, source_type=source_type, since=cut_off,
+        )
         return render.cited(docs.join(F.broadcast(hits), docs["id"] == hits["doc_id"])).orderBy("rank")  # k rows
 
     def recall(self, query: str, k: int = 5, repo: str | None = None, source_type: str | None = None, since: str | None = None, here: str | None = None) -> str:
@@ -188,12 +220,12 @@ class MemoryEngine:
         scope = search.resolve_repo(repo, here)
         if self.documents().isEmpty():
             return "The index is empty: index something first."
-        hits = self.search(query, k, scope, source_type or None, since).collect()
+        hits = self.search(query, k, scope, source_type or None, since).select(render.block().alias("block")).collect()
         where = f"repo={scope}" if scope else "all repos"
         if not hits:
             return f'No relevant memory found for "{query}" ({where}).'
         head = f'{len(hits)} memory item(s) for "{query}" ({where}, with sources):'
-        return "\n\n".join([head, *(render.block(h, n) for n, h in enumerate(hits, 1))])
+        return "\n\n".join([head, *(h["block"] for h in hits)])
 
     def stats(self) -> DataFrame:
         return search.stats(self.documents())

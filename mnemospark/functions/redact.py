@@ -49,8 +49,9 @@ def mask_entropy(c: Column) -> Column:
     return F.aggregate(longest, c, lambda text, token: F.replace(text, token, F.lit(mask("HIGH_ENTROPY"))))
 
 
-def redact_columns(df: DataFrame, columns: list[str], count: str = "n_masked") -> DataFrame:
-    """``df`` with ``columns`` masked and ``count``, the number of masks over all of them; NULLs stay and count 0.
+def redact_columns(df: DataFrame, columns: list[str], count: str = "n_masked", high_entropy: bool = False) -> DataFrame:
+    """``df`` with ``columns`` masked and ``count``, the number of masks over all of them; NULLs stay and count 0. With
+    ``high_entropy`` tokens that look secret are masked last.
 
     Each step is a stage of its own, so that a text is scanned twice per rule and no expression is nested.
     """
@@ -58,4 +59,9 @@ def redact_columns(df: DataFrame, columns: list[str], count: str = "n_masked") -
     for pattern, to in steps():
         hits = sum((F.coalesce(F.regexp_count(F.col(c), F.lit(pattern)), F.lit(0)) for c in columns), F.col(count))
         df = df.withColumns({**{c: F.regexp_replace(F.col(c), pattern, to) for c in columns}, count: hits})
+    if high_entropy:
+        label = mask("HIGH_ENTROPY")
+        df = df.withColumns({f"_was_{c}": F.coalesce(F.regexp_count(F.col(c), F.lit(label)), F.lit(0)) for c in columns}).withColumns({c: mask_entropy(F.col(c)) for c in columns})
+        more = sum((F.coalesce(F.regexp_count(F.col(c), F.lit(label)), F.lit(0)) - F.col(f"_was_{c}") for c in columns), F.col(count))
+        df = df.withColumn(count, more).drop(*[f"_was_{c}" for c in columns])
     return df

@@ -147,10 +147,11 @@ class Store:
         return {r[0] for r in ids.select(self._bucket(F.col(ids.columns[0]), self._manifest()["buckets"])).distinct().collect()}
 
     # -- documents --------------------------------------------------------------------------------------------
-    def upsert(self, docs: DataFrame, masked: bool = True, vectors: DataFrame | None = None) -> int:
+    def upsert(self, docs: DataFrame, masked: bool = True, vectors: DataFrame | None = None, high_entropy: bool = False) -> int:
         """Puts documents in by id, masks their secrets first, and refreshes postings, lengths and vectors; returns their number.
 
-        A stored vector stays only while its document's text does. ``vectors``: (doc_id, vec, model_id) of the new ones.
+        A stored vector stays only while its document's text does. ``vectors``: (doc_id, vec, model_id) of the new ones;
+        ``high_entropy`` masks tokens that look secret too.
         """
         from ..functions.redact import redact_columns
         from ..session import cut
@@ -159,7 +160,7 @@ class Store:
         new = conform(docs)
         if masked:
             texts = ["text", "title", "question", "answer", "answer_summary", "summary"]
-            new = redact_columns(new, texts).drop("n_masked")
+            new = redact_columns(new, texts, high_entropy=high_entropy).drop("n_masked")
         new = cut(last_writer(self.spark.createDataFrame([], DOCUMENT), new))
         n = new.count()
         if not n:
@@ -239,10 +240,16 @@ class Store:
         """(path) of the distinct paths of a type and repository."""
         return self.read("documents").where((F.col("source_type") == source_type) & (F.col("repo") == repo)).select("path").distinct()
 
+    def put_vectors(self, vectors: DataFrame) -> None:
+        """Puts vectors (doc_id, vec, model_id) in by document."""
+        touched = self._touched(vectors.select("doc_id"))
+        if touched:
+            self.replace({"vectors": last_writer(self.read("vectors", touched), conform(vectors, SCHEMAS["vectors"]), "doc_id")}, touched)
+
     def migrate_vectors(self, legacy: DataFrame, model_id: str | None = None) -> int:
         """Takes over vectors stored as JSON text (doc_id, vec_json); rows that are no list of numbers are skipped."""
         v = legacy.select("doc_id", F.from_json("vec_json", "array<float>").alias("vec"), F.lit(model_id).alias("model_id")).where("vec is not null")
-        self.write("vectors", last_writer(self.read("vectors"), conform(v, SCHEMAS["vectors"]), "doc_id"))
+        self.put_vectors(v)
         return v.count()
 
     # -- state ------------------------------------------------------------------------------------------------

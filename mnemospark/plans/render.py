@@ -32,19 +32,19 @@ def cited(docs: DataFrame) -> DataFrame:
     return docs.withColumn("citation", citation())
 
 
-def block(hit: Row, number: int) -> str:
-    """One hit as text: the citation, then question, summary and first commit of a turn, or the start of the text."""
-    if hit["source_type"] == "agent_turn":
-        lines = [f"Q: {hit['question'] or hit['title']}"]
-        if hit["answer_summary"]:
-            lines.append(f"A: {hit['answer_summary']}")
-        for c in (hit["commits"] or [])[:1]:
-            lines.append(f"→ commit {c['hash']}: {c['subject']}")
-        body = "\n".join(lines)
-    else:
-        text, summary = hit["text"] or "", hit["summary"] if hit["source_type"] in ("code", "commit") else None
-        body = f"{summary}\n{text[:300]}" if summary else text[:400]
-    return f"### [{number}] {hit['citation']}\n{body}"
+def block() -> Column:
+    """A hit (``cited``, with rank) as text: its citation, then question, summary and first commit of a turn, or the start of the text."""
+    col = lambda c: F.coalesce(F.col(c), F.lit(""))
+    first = F.get("commits", F.lit(0))
+    turn = F.concat_ws(
+        "\n",
+        F.concat(F.lit("Q: "), F.coalesce(F.nullif("question", F.lit("")), F.col("title"), F.lit(""))),
+        F.when(col("answer_summary") != "", F.concat(F.lit("A: "), F.col("answer_summary"))),
+        F.when(first.isNotNull(), F.concat(F.lit("→ commit "), F.coalesce(first["hash"], F.lit("")), F.lit(": "), F.coalesce(first["subject"], F.lit("")))),
+    )
+    summed = F.col("source_type").isin("code", "commit") & (col("summary") != "")
+    body = F.when(F.col("source_type") == "agent_turn", turn).when(summed, F.concat("summary", F.lit("\n"), F.substring(col("text"), 1, 300))).otherwise(F.substring(col("text"), 1, 400))
+    return F.concat(F.lit("### ["), F.col("rank").cast("string"), F.lit("] "), F.col("citation"), F.lit("\n"), body)
 
 
 def context(hits: list[Row]) -> str:

@@ -12,6 +12,7 @@ import os
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -19,6 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions.text import strip
 
 BATCH = 256
+FILE = "path string, size long, mtime double, sha1 string, content binary"
 
 
 class _Batch(InputPartition):
@@ -28,7 +30,7 @@ class _Batch(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.root, self.patterns = options["root"], options.get("patterns", "*").split("|")
+        self.root, self.patterns, self.opened = options["root"], options.get("patterns", "*").split("|"), options.get("contents", "true") == "true"
 
     def partitions(self) -> list[InputPartition]:
         found = []
@@ -43,25 +45,35 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: _Batch) -> Iterator[tuple]:
         for rel in partition.paths:
-            path = os.path.join(self.root, rel)
-            try:
-                s = os.stat(path)
-                with open(path, "rb") as f:
-                    data = f.read()
-            except OSError:
-                continue
-            yield rel, s.st_size, s.st_mtime, hashlib.sha1(data).hexdigest(), data
+            row = _file(self.root, rel, self.opened)
+            if row:
+                yield row
+
+
+def _file(root: str, rel: str, opened: bool) -> tuple | None:
+    """(path, size, mtime, sha1, content) of a file, the last two None if it isn't to be opened; None if it can't be read."""
+    path = os.path.join(root, rel)
+    try:
+        s = os.stat(path)
+        if not opened:
+            return rel, s.st_size, s.st_mtime, None, None
+        with open(path, "rb") as f:
+            data = f.read()
+    except OSError:
+        return None
+    return rel, s.st_size, s.st_mtime, hashlib.sha1(data).hexdigest(), data
 
 
 class RawFiles(DataSource):
-    """``spark.read.format("rawfiles").option("root", folder).option("patterns", "*.jsonl|x/*.md")``."""
+    """``spark.read.format("rawfiles").option("root", folder).option("patterns", "*.jsonl|x/*.md")``; with the option
+    ``contents`` ``false`` no file is opened."""
 
     @classmethod
     def name(cls) -> str:
         return "rawfiles"
 
     def schema(self) -> str:
-        return "path string, size long, mtime double, sha1 string, content binary"
+        return FILE
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
@@ -74,6 +86,26 @@ def raw_files(spark: SparkSession, root: str, patterns: str = "*") -> DataFrame:
     return spark.read.format("rawfiles").option("root", root).option("patterns", patterns).load()
 
 
+def manifest(spark: SparkSession, root: str, patterns: str = "*") -> DataFrame:
+    """(path, size, mtime) of the same files; none is opened."""
+    spark.dataSource.register(RawFiles)
+    return spark.read.format("rawfiles").option("root", root).option("patterns", patterns).option("contents", "false").load().select("path", "size", "mtime")
+
+
+def read_files(paths: DataFrame, root: str) -> DataFrame:
+    """The columns of ``raw_files`` for a table of paths (path) below ``root``; only these files are opened, by the tasks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p in b["path"]:
+                row = _file(root, p, True)
+                if row:
+                    yield pd.DataFrame([row], columns=["path", "size", "mtime", "sha1", "content"])
+
+    parts = max(1, -(-paths.count() // BATCH))
+    return paths.select("path").repartition(parts).mapInPandas(run, FILE)
+
+
 def text_of(content: Column) -> Column:
     """Bytes as text; what is no UTF-8 is replaced."""
     return F.make_valid_utf8(content.cast("string"))
@@ -106,10 +138,10 @@ def is_ignored(path: Column, patterns: list[str]) -> Column:
 SESSION_FILES = {"claude": "*.jsonl", "codex": "rollout-*.jsonl", "gemini": "*/chats/*.jsonl"}
 
 
-def session_records(spark: SparkSession, agent: str, root: str) -> DataFrame:
+def session_records(spark: SparkSession, agent: str, root: str, paths: DataFrame | None = None) -> DataFrame:
     """Records (session_id, line, agent, type, content, timestamp, cwd, git_branch, is_meta, is_sidechain, toolCalls, path, mtime)
-    of an agent's session logs under ``root``; lines that are no JSON objects are dropped."""
-    files = raw_files(spark, root, SESSION_FILES[agent])
+    of an agent's session logs under ``root``, or of those of ``paths`` alone; lines that are no JSON objects are dropped."""
+    files = raw_files(spark, root, SESSION_FILES[agent]) if paths is None else read_files(paths, root)
     if agent == "gemini":  # exactly one folder, then chats: copies further down are no sessions
         files = files.where(F.size(F.split("path", "/")) == 3)
     r = numbered_lines(files).withColumn("v", F.try_parse_json("value")).where(F.schema_of_variant("v").startswith("OBJECT"))

@@ -1,14 +1,18 @@
 from __future__ import annotations
 
 import json
+import os
 import subprocess
 import time
+import warnings
 
 import pytest
 from pyspark.sql import functions as F
 
 from mnemospark.engine import MemoryEngine
-from mnemospark.operators.store import changed, last_writer, stale
+from mnemospark.functions.embed import HashingEmbedder
+from mnemospark.operators.store import Store, changed, last_writer, stale
+from mnemospark.settings import Settings
 from mnemospark.sources import files, git
 from mnemospark.streaming.watch import changes, watch
 
@@ -156,3 +160,80 @@ def test_watch(spark, tmp_path):
         time.sleep(0.5)
     q.stop()
     assert seen == [{"turns": 0, "chunks": 2, "commits": 0}]
+
+
+def _notes(spark, *rows):
+    return spark.createDataFrame(list(rows), "id string, source_type string, repo string, path string, title string, text string, version long")
+
+
+def test_a_failed_write_changes_nothing(spark, tmp_path, monkeypatch):
+    s = Store(spark, str(tmp_path / "s"))
+    s.upsert(_notes(spark, ("a", "note", "r", "p", "t", "one", 1), ("b", "note", "r", "p", "t", "two", 1)), False)
+    for step in ("_point", "_bucket"):  # after all files are written, and before any
+
+        def stop(*_):
+            raise OSError("stopped")
+
+        with monkeypatch.context() as m:
+            m.setattr(Store, step, stop)
+            with pytest.raises(OSError):
+                s.upsert(_notes(spark, ("a", "note", "r", "p", "t", "three", 2)), False)
+        assert s.get("a").first()["text"] == "one" and {r["token"] for r in s.read("postings").where("field = 'text'").collect()} == {"one", "two"}
+    assert s.upsert(_notes(spark, ("a", "note", "r", "p", "t", "four", 3)), False) == 1 and s.get("a").first()["text"] == "four" and s.read("documents").count() == 2
+
+
+def test_nothing_is_deleted_without_a_pointer(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"))
+    s.upsert(_notes(spark, ("a", "note", "r", "p", "t", "one", 1)), False)
+    current = (tmp_path / "s" / "CURRENT").read_text()
+    (tmp_path / "s" / "CURRENT").unlink()
+    with pytest.raises(RuntimeError):
+        s.upsert(_notes(spark, ("b", "note", "r", "p", "t", "two", 1)), False)
+    (tmp_path / "s" / "CURRENT").write_text(current)
+    assert s.get("a").first()["text"] == "one"
+
+
+def test_an_upsert_writes_only_its_buckets_and_they_multiply(spark, tmp_path, monkeypatch):
+    s = Store(spark, str(tmp_path / "s"))
+    s.upsert(_notes(spark, *[(f"n{k}", "note", "r", "p", "t", f"word{k}", 1) for k in range(60)]), False)
+    before = s._manifest()
+    s.upsert(_notes(spark, ("n7", "note", "r", "p", "t", "changed", 2)), False)
+    after = s._manifest()
+    assert sum(before["tables"]["documents"][b] != v for b, v in after["tables"]["documents"].items()) == 1 and after["rows"] == 60
+    monkeypatch.setattr("mnemospark.operators.store.BUCKET_DOCUMENTS", 3)
+    s.upsert(_notes(spark, ("x", "note", "r", "p", "t", "more", 1)), False)
+    assert s._manifest()["buckets"] == 64 and s.read("documents").count() == 61 and s.get("n7").first()["text"] == "changed"
+    assert s.forget_repo("r")["documents"] == 61 and s.read("postings").isEmpty() and s._manifest()["rows"] == 0
+
+
+def test_a_manifest_opens_no_file(spark, tmp_path):
+    os.mkfifo(tmp_path / "pipe.jsonl")  # opening it would wait for a writer
+    (tmp_path / "a.jsonl").write_text("{}")
+    assert files._file(str(tmp_path), "pipe.jsonl", False)[0] == "pipe.jsonl"
+    assert sorted(r["path"] for r in files.manifest(spark, str(tmp_path), "*.jsonl").collect()) == ["a.jsonl", "pipe.jsonl"]
+    one = files.read_files(spark.createDataFrame([("a.jsonl",), ("gone",)], "path string"), str(tmp_path)).collect()
+    assert [(r["path"], bytes(r["content"])) for r in one] == [("a.jsonl", b"{}")]
+
+
+def test_settings(spark, tmp_path, monkeypatch):
+    for k, v in {"HOME": str(tmp_path / "h"), "CODEX_SESSIONS": "/x", "REDACT_ENTROPY": "Yes", "WORK_PENALTY": "3", "EMBED_BACKEND": "none"}.items():
+        monkeypatch.setenv(f"MNEMOSPARK_{k}", v)
+    c = Settings()
+    assert c.sessions["codex"] == "/x" and c.sessions["claude"].endswith(".claude/projects") and c.work_penalty == 3 and c.commit_window_min == 180
+    e = MemoryEngine(spark, hashing=True)
+    assert e.embedder is None and e.store.home == str(tmp_path / "h")
+    e.remember("the value is aB3dE5gH7jK9mN1pQ3sT5vX7zY2wU4rO6 today", "r")
+    assert "HIGH_ENTROPY" in e.documents().first()["text"]
+
+
+def test_vectors_of_another_model(spark, tmp_path):
+    e = MemoryEngine(spark, str(tmp_path / "h"))
+    e.remember("zebras sleep standing", "r")
+    e.embedder = HashingEmbedder(8)
+    assert e.fill_vectors() == 1 and e.fill_vectors() == 0 and e.store.embedder_id() == "hashing:8"
+    other = MemoryEngine(spark, str(tmp_path / "h"), embedder=HashingEmbedder(16))
+    with pytest.warns(UserWarning, match="hashing:8"):
+        assert other.search("zebras").count() == 1
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        assert other.search("zebras").count() == 1  # said once

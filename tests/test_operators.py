@@ -180,8 +180,14 @@ def test_embedding(spark):
 def test_rendering(spark):
     docs = spark.createDataFrame([("code", "r", "a.py", "a.py:1-9", "body"), ("note", "", "note", "t", "n" * 500), ("commit", "r", "abc", "Fix", "b")], "source_type string, repo string, path string, title string, text string")
     rows = render.cited(docs).collect()
+    shown = render.cited(docs.withColumn("rank", F.expr("case source_type when 'code' then 1 when 'note' then 2 else 3 end"))).withColumn("summary", F.when(F.col("source_type") == "commit", F.lit("S")))
+    blocks = [r[0] for r in shown.orderBy("rank").select(render.block()).collect()]
+    assert blocks[0] == "### [1] r/a.py:1-9\nbody" and blocks[2] == '### [3] r@abc "Fix"\nS\nb'
+    turn = spark.createDataFrame([("agent_turn", "r", "Q?", "An.", [("ab", "Fix it", "file")], 1), ("agent_turn", "r", None, None, None, 2)], "source_type string, repo string, question string, answer_summary string, commits array<struct<hash:string,subject:string,kind:string>>, rank int")
+    got = [r[0].split("\n", 1)[1] for r in render.cited(turn).orderBy("rank").select(render.block()).collect()]
+    assert got == ["Q: Q?\nA: An.\n→ commit ab: Fix it", "Q: "]
     assert [r["citation"] for r in rows] == ["r/a.py:1-9", "note ?", 'r@abc "Fix"']
-    assert render.block(rows[1], 2) == "### [2] note ?\n" + "n" * 400
+    assert blocks[1] == "### [2] note ?\n" + "n" * 400
     assert render.context(rows[:1]) == "[1] (r/a.py:1-9)\nbody"
 
 
