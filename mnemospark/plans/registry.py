@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import memory, times
+from . import index, memory, times
 
-_MODULES = [memory, times]
+_MODULES = [memory, index, times]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
