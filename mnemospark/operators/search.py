@@ -153,17 +153,16 @@ def collapse(hits: DataFrame, threshold: float = COLLAPSE) -> DataFrame:
     """``hits`` (doc_id, rank, words, ...) without those whose words are like those of a kept one further up.
 
     Hits with no words (all that are no turns) are kept and drop nothing. The hits of one request are gathered in one
-    row; more than MOST_HITS raise ValueError.
+    row, which is read once; more than MOST_HITS are an error.
     """
-    if hits.limit(MOST_HITS + 1).count() > MOST_HITS:
-        raise ValueError(f"more than {MOST_HITS} hits to collapse")
-    one = F.array_sort(F.collect_list(F.struct("rank", "doc_id", "words")))
-    none = F.array().cast("array<struct<rank:int,doc_id:string,words:array<string>>>")
+    row = F.struct(F.col("rank").cast("int").alias("rank"), F.col("doc_id").cast("string").alias("doc_id"), "words", F.struct(*hits.columns).alias("row"))
     like = lambda kept, x: F.exists(kept, lambda y: (F.size(y["words"]) > 0) & (jaccard(x["words"], y["words"]) >= threshold))
     step = lambda kept, x: F.when((F.size(x["words"]) > 0) & like(kept, x), kept).otherwise(F.concat(kept, F.array(x)))
-    typed = hits.withColumns({"rank": F.col("rank").cast("int"), "doc_id": F.col("doc_id").cast("string")})
-    kept = typed.agg(F.aggregate(one, none, step).alias("k")).select(F.explode("k").alias("x")).select(F.col("x.doc_id").alias("doc_id"))
-    return hits.join(kept, "doc_id", "left_semi")
+    one = hits.orderBy("rank").limit(MOST_HITS + 1).agg(F.array_sort(F.collect_list(row)).alias("all"))
+    many = F.raise_error(F.lit(f"more than {MOST_HITS} hits to collapse")).cast("boolean")
+    one = one.where(F.when(F.size("all") > MOST_HITS, many).otherwise(F.lit(True)))
+    kept = one.select(F.explode(F.aggregate("all", F.filter("all", lambda x: F.lit(False)), step)).alias("x"))
+    return kept.select("x.row.*")
 
 
 def retrieve(

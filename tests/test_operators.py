@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pytest
+
 import math
 import random
 import re
@@ -194,3 +196,12 @@ def test_rendering(spark):
 def test_request_parameters():
     assert search.resolve_repo("ALL", "x") is None and search.resolve_repo("y", "x") == "y" and search.resolve_repo(None, "x") == "x"
     assert search.parse_since("7x") is None and search.parse_since("") is None and search.parse_since("2 w") is not None
+
+
+def test_collapse_keeps_columns_and_refuses_too_many(spark, monkeypatch):
+    hits = spark.createDataFrame([(7, 1, ["a", "b"], "x"), (8, 2, ["a", "b"], "y"), (9, 3, [], "z"), (10, 4, [], None)], "doc_id long, rank int, words array<string>, extra string")
+    assert [tuple(r) for r in search.collapse(hits).orderBy("rank").select("doc_id", "extra").collect()] == [(7, "x"), (9, "z"), (10, None)]
+    assert search.collapse(hits.limit(0)).count() == 0
+    monkeypatch.setattr(search, "MOST_HITS", 3)
+    with pytest.raises(Exception, match="more than 3 hits"):
+        search.collapse(hits).collect()
