@@ -24,13 +24,17 @@ from ..session import cut, table
 
 NEIGHBOURS = 10
 #: Single-projection hashes, half width of a window at radius 1 and least share of the windows a candidate is in.
-PROJECTIONS, WIDTH, COLLIDING = 16, 1.2, 0.5
+PROJECTIONS, WIDTH, COLLIDING = 16, 1.3, 0.5
 #: Radii grow by this factor from level to level.
-GROWTH = 1.5
+GROWTH = 2.0
 #: Half width, at radius 1, of the window on the projection between two cells' centres.
 REACH = 0.5
 #: Vectors a cell has on average, and those of a cell that one task holds or asks at once.
 CELL, BLOCK = 1_024, 4_096
+#: Pairs of queries and vectors whose counters and cosines are in memory at once.
+PAIRS_AT_ONCE = 400_000
+#: Share of candidates among those pairs from which all cosines are made by one matrix product, of which candidates' count.
+DENSE = 0.05
 #: Components of all vectors that cells are fitted on (64 MB), and sampled vectors that a cell takes at least.
 SAMPLE_VALUES, PER_CELL = 1 << 24, 16
 #: Dimensions that cells are fitted for; a collection has one, or a few by model.
@@ -47,16 +51,17 @@ def search_block(data: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int,
     projected, centres = data @ axes, queries @ axes
     order = np.argsort(projected, axis=0, kind="stable")
     lines = np.take_along_axis(projected, order, axis=0)
-    place = np.empty((PROJECTIONS, n), dtype=np.int32)
+    kind, whole = (np.int16, np.uint16) if n < 1 << 15 else (np.int32, np.uint32)
+    place = np.empty((PROJECTIONS, n), dtype=kind)
     for i in range(PROJECTIONS):
         place[i, order[:, i]] = np.arange(n)
     need = int(np.ceil(COLLIDING * PROJECTIONS))
     if radii is None:
         probe = rng.choice(n, size=min(n, 64), replace=False)
         near = np.sort(np.sqrt(np.maximum(0, 2 - 2 * data[probe] @ data.T)), axis=1)[:, min(k, n - 1)]
-        first = max(0.02, float(np.quantile(near, 0.4)))
+        first = max(0.02, float(np.quantile(near, 0.6)))
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    step = max(16, 1_000_000 // n)
+    step = max(16, PAIRS_AT_ONCE // n)
     for start in range(0, len(queries), step):
         pending = np.arange(start, min(start + step, len(queries)))
         r = np.full(len(pending), first) if radii is None else radii[pending]
@@ -64,13 +69,16 @@ def search_block(data: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int,
             last = (r >= 2) | (n <= k)
             counts = np.zeros((len(pending), n), dtype=np.uint8)
             for i in range(PROJECTIONS):  # the window as places of the sorted array
-                low = np.searchsorted(lines[:, i], centres[pending, i] - WIDTH * r).astype(np.int32)
-                high = np.searchsorted(lines[:, i], centres[pending, i] + WIDTH * r, side="right").astype(np.int32)
-                counts += (place[i][None, :] - low[:, None]).view(np.uint32) < (high - low).view(np.uint32)[:, None]
-            q, at = np.nonzero((counts >= need) | last[:, None])
-            cosine = np.einsum("ij,ij->i", queries[pending[q]], data[at])
-            table = np.full((len(pending), n), -4.0)
-            table[q, at] = cosine
+                low = np.searchsorted(lines[:, i], centres[pending, i] - WIDTH * r).astype(kind)
+                high = np.searchsorted(lines[:, i], centres[pending, i] + WIDTH * r, side="right").astype(kind)
+                counts += (place[i][None, :] - low[:, None]).view(whole) < (high - low).view(whole)[:, None]
+            candidate = (counts >= need) | last[:, None]
+            if np.count_nonzero(candidate) > DENSE * candidate.size:  # one product costs less than many gathers
+                table = np.where(candidate, queries[pending] @ data.T, -4.0)
+            else:
+                q, at = np.nonzero(candidate)
+                table = np.full(candidate.shape, -4.0)
+                table[q, at] = np.einsum("ij,ij->i", queries[pending[q]], data[at])
             bound = np.partition(table, max(0, n - k), axis=1)[:, max(0, n - k)]
             ended = last | (radii is not None) | (np.sqrt(np.maximum(0, 2 - 2 * bound)) <= r)
             q, at = np.nonzero((table >= np.maximum(bound, -2)[:, None]) & ended[:, None])
