@@ -1,11 +1,10 @@
 from __future__ import annotations
 
-import pytest
-
 import math
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from mnemospark.functions import redact as R
