@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .instants import once
 from .text import looks_secret
 
 # Patterns and labels in the order they apply.
@@ -44,9 +45,16 @@ def redact(c: Column, high_entropy: bool = False) -> Column:
 
 def mask_entropy(c: Column) -> Column:
     """Masks every long token that looks secret. Longer tokens go first, so that one inside another isn't cut out of it."""
+    return _without(c, _secret_looking(c))
+
+
+def _secret_looking(c: Column) -> Column:
     found = F.array_distinct(F.filter(F.regexp_extract_all(c, F.lit(f"({CANDIDATE})")), looks_secret))
-    longest = F.array_sort(found, lambda a, b: F.length(b) - F.length(a))
-    return F.aggregate(longest, c, lambda text, token: F.replace(text, token, F.lit(mask("HIGH_ENTROPY"))))
+    return F.array_sort(found, lambda a, b: F.length(b) - F.length(a))
+
+
+def _without(c: Column, tokens: Column) -> Column:
+    return F.aggregate(tokens, c, lambda text, token: F.replace(text, token, F.lit(mask("HIGH_ENTROPY"))))
 
 
 def redact_columns(df: DataFrame, columns: list[str], count: str = "n_masked", high_entropy: bool = False) -> DataFrame:
@@ -60,8 +68,11 @@ def redact_columns(df: DataFrame, columns: list[str], count: str = "n_masked", h
         hits = sum((F.coalesce(F.regexp_count(F.col(c), F.lit(pattern)), F.lit(0)) for c in columns), F.col(count))
         df = df.withColumns({**{c: F.regexp_replace(F.col(c), pattern, to) for c in columns}, count: hits})
     if high_entropy:
-        label = mask("HIGH_ENTROPY")
-        df = df.withColumns({f"_was_{c}": F.coalesce(F.regexp_count(F.col(c), F.lit(label)), F.lit(0)) for c in columns}).withColumns({c: mask_entropy(F.col(c)) for c in columns})
-        more = sum((F.coalesce(F.regexp_count(F.col(c), F.lit(label)), F.lit(0)) - F.col(f"_was_{c}") for c in columns), F.col(count))
-        df = df.withColumn(count, more).drop(*[f"_was_{c}" for c in columns])
+        for c in columns:  # the text and its tokens are stages of their own too
+            df = once(df, c, F.col(c))
+            df = once(df, "_tokens", _secret_looking(F.col(c)))
+            df = df.withColumns({c: _without(F.col(c), F.col("_tokens")), "_before": F.col(c)})
+            label = F.lit(mask("HIGH_ENTROPY"))
+            more = F.coalesce(F.regexp_count(F.col(c), label) - F.regexp_count("_before", label), F.lit(0))
+            df = df.withColumn(count, F.col(count) + more).drop("_tokens", "_before")
     return df

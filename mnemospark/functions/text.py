@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 INJECTED_TAGS = ("system-reminder", "task-notification")
 SKIPPED_ENDINGS = (
-    ".png .jpg .jpeg .gif .webp .ico .pdf .zip .gz .tar .jar .class .so .dylib .dll .bin .lock .woff .woff2 .ttf .eot .mp4 .mov .mp3 .svg"
-).split()
+    ".png", ".jpg", ".jpeg", ".gif", ".webp", ".ico", ".pdf", ".zip", ".gz",
+    ".tar", ".jar", ".class", ".so", ".dylib", ".dll", ".bin", ".lock", ".woff",
+    ".woff2", ".ttf", ".eot", ".mp4", ".mov", ".mp3", ".svg",
+)
 LANGUAGES = {
     ".py": "python", ".kt": "kotlin", ".java": "java", ".js": "javascript", ".ts": "typescript", ".tsx": "typescript",
     ".go": "go", ".rs": "rust", ".rb": "ruby", ".c": "c", ".h": "c", ".cpp": "cpp", ".sh": "shell", ".yaml": "yaml",
@@ -78,7 +80,7 @@ def language_of(path: Column) -> Column:
 
 def is_indexable(path: Column, size: Column, content: Column | None = None) -> Column:
     """Whether a file is text of an allowed size by ending, size and, if given, the first 8192 bytes of ``content``."""
-    ok = ~ending(path).isin(SKIPPED_ENDINGS) & (size <= MAX_BYTES)
+    ok = ~ending(path).isin(*SKIPPED_ENDINGS) & (size <= MAX_BYTES)
     return ok if content is None else ok & ~F.hex(F.substring(content.cast("binary"), 1, 8192)).rlike("^(..)*00")
 
 

@@ -86,6 +86,16 @@ def store_delete_paths(spark: SparkSession, sf: str) -> DataFrame:
     return _indexed(s)
 
 
+def store_rescan(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts of an index of all documents that were stored unmasked and are masked afterwards."""
+    s = _store(spark, sf)
+    s.rescan()
+    return s.read("documents").select(F.col("id").alias("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
+
+
+STORE_RESCAN = memory._redact_sql().replace("SELECT doc_id, md5(x) AS digest, n::BIGINT AS n_masked", "SELECT doc_id::VARCHAR AS doc_id, md5(coalesce(x, '')) AS digest").replace(" WHERE n > 0", "")
+
+
 def indexable(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, ok): whether a path and its text are indexed."""
     d = table(spark, sf, "documents").where("path is not null and text is not null")
@@ -145,12 +155,12 @@ def blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 BLOCKS = f"SELECT id, '### [' || rank || '] ' || citation || chr(10) || substr(coalesce(text, ''), 1, 400) AS block FROM ({_CITED}) WHERE source_type <> 'agent_turn'"
 
-QUERIES = {f.__name__: f for f in (store_upsert, store_forget, store_get, store_paths, store_delete_paths, indexable, code_documents, citations, blocks)}
+QUERIES = {f.__name__: f for f in (store_upsert, store_forget, store_get, store_paths, store_delete_paths, store_rescan, indexable, code_documents, citations, blocks)}
 SQL = {
     "store_upsert": STORE_UPSERT, "store_forget": STORE_FORGET,
     "store_get": f"SELECT doc_id::VARCHAR AS id, source_type, repo, title, md5(coalesce(text, '')) AS digest FROM ({_D}) WHERE doc_id = 17",
     "store_paths": f"SELECT DISTINCT path FROM ({_D}) WHERE source_type = 'code' AND repo = {_BIGGEST}",
     "store_delete_paths": f"SELECT doc_id::VARCHAR AS doc_id, md5(coalesce(text, '')) AS digest, {_LEN} AS dl, {_LEN} AS tokens FROM ({_D}) WHERE NOT coalesce(source_type = 'code' AND repo = {_BIGGEST} AND path IS NOT NULL, false)",
-    "indexable": f"SELECT doc_id, {_OK} AS ok FROM documents WHERE path IS NOT NULL AND text IS NOT NULL",
+    "store_rescan": STORE_RESCAN, "indexable": f"SELECT doc_id, {_OK} AS ok FROM documents WHERE path IS NOT NULL AND text IS NOT NULL",
     "code_documents": CODE_DOCUMENTS, "citations": f"SELECT id, citation FROM ({_CITED})", "blocks": BLOCKS,
 }

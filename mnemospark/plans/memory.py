@@ -94,6 +94,25 @@ WHERE bits > 4.0 AND regexp_matches(token, '\p{{Lu}}') AND regexp_matches(token,
 """
 
 
+def redact_high(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, digest, n_masked) of the documents that masking with the entropy rule changes."""
+    d = R.redact_columns(_docs(spark, sf).select("doc_id", "text"), ["text"], high_entropy=True).where("n_masked > 0")
+    return d.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), F.col("n_masked").cast("long").alias("n_masked"))
+
+
+def _redact_high_sql() -> str:
+    label = R.mask("HIGH_ENTROPY")
+    base = _redact_sql().replace("md5(x) AS digest, n::BIGINT AS n_masked", "x, n").replace(" WHERE n > 0", "")
+    return rf"""
+WITH b AS ({base}), c AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(x, '{R.CANDIDATE}')) AS token FROM b),
+     e AS (SELECT token, -sum(p * log2(p)) AS bits FROM (SELECT token, count(*) / length(token) AS p FROM (SELECT token, unnest(string_split(token, '')) AS ch FROM (SELECT DISTINCT token FROM c)) GROUP BY token, ch) GROUP BY token),
+     s AS (SELECT doc_id, list(token ORDER BY length(token) DESC, token) AS ts FROM c JOIN e USING (token)
+           WHERE bits > 4.0 AND regexp_matches(token, '\p{{Lu}}') AND regexp_matches(token, '\p{{Ll}}') AND regexp_matches(token, '\p{{Nd}}') GROUP BY doc_id),
+     m AS (SELECT doc_id, n, list_reduce(list_concat([x], coalesce(ts, [])), lambda t, token: replace(t, token, '{label}')) AS x FROM b LEFT JOIN s USING (doc_id))
+SELECT doc_id, md5(x) AS digest, (n + (length(x) - length(replace(x, '{label}', ''))) // length('{label}'))::BIGINT AS n_masked FROM m WHERE n_masked > 0
+"""
+
+
 def clean_blocks(spark: SparkSession, sf: str) -> DataFrame:
     m = table(spark, sf, "message_records").where(F.col("content").contains("<system-reminder>") | F.col("content").contains("<task-notification>"))
     return m.select("rec_id", F.md5(X.clean_blocks(F.col("content")).cast("binary")).alias("digest")).distinct()
@@ -132,7 +151,8 @@ FROM p
 # -- sessions ---------------------------------------------------------------------------------------------------
 def _records(spark: SparkSession, sf: str, agent: str) -> DataFrame:
     m = table(spark, sf, "message_records").where(F.col("agent") == agent)
-    return m.dropDuplicates(["rec_id"]).withColumn("line", F.col("rec_id"))
+    one = m.groupBy("rec_id").agg(F.min(F.struct(*[c for c in m.columns if c != "rec_id"])).alias("x"))  # repeats are alike but for their arrival
+    return one.select("rec_id", "x.*").withColumn("line", F.col("rec_id"))
 
 
 def _session_turns(spark: SparkSession, sf: str, agent: str) -> DataFrame:
@@ -241,14 +261,14 @@ SELECT t.turn_id, coalesce(len(t.files), 0) > 0 OR coalesce(k.by_file, false) AS
 
 # -- chunks -----------------------------------------------------------------------------------------------------
 def chunk_windows(spark: SparkSession, sf: str) -> DataFrame:
-    c = chunking.chunk_lines(_docs(spark, sf).where("text is not null").select("doc_id", "text"), 12, 3)
+    c = chunking.chunk_lines(_docs(spark, sf).where("text is not null").select("doc_id", "text"))
     return _long(c.select("doc_id", "start_line", "end_line", F.md5(F.col("chunk").cast("binary")).alias("digest")), "start_line", "end_line")
 
 
 CHUNK_WINDOWS = f"""
 WITH l AS (SELECT doc_id, {_LINES.format("text")} AS ls FROM documents WHERE text IS NOT NULL),
-     w AS (SELECT doc_id, ls, unnest(CASE WHEN len(ls) > 0 THEN range(0, greatest(0, (ceil((len(ls) - 12) / 9.0) * 9)::BIGINT) + 1, 9) ELSE [] END) AS s FROM l)
-SELECT doc_id, s + 1 AS start_line, least(s + 12, len(ls)) AS end_line, md5(array_to_string(ls[s + 1:least(s + 12, len(ls))], chr(10))) AS digest FROM w
+     w AS (SELECT doc_id, ls, unnest(CASE WHEN len(ls) > 0 THEN range(0, greatest(0, (ceil((len(ls) - 60) / 45.0) * 45)::BIGINT) + 1, 45) ELSE [] END) AS s FROM l)
+SELECT doc_id, s + 1 AS start_line, least(s + 60, len(ls)) AS end_line, md5(array_to_string(ls[s + 1:least(s + 60, len(ls))], chr(10))) AS digest FROM w
 """
 
 
@@ -585,13 +605,13 @@ FROM ({_T})
 QUERIES = {
     f.__name__: f
     for f in (
-        doc_normalize, redact_all, redact_entropy, clean_blocks, turn_documents, turns_claude, turns_codex, turns_gemini, link_commits, work_signal, chunk_windows,
+        doc_normalize, redact_all, redact_entropy, redact_high, clean_blocks, turn_documents, turns_claude, turns_codex, turns_gemini, link_commits, work_signal, chunk_windows,
         chunk_symbols, token_counts, corpus_stats, lexical_topk, lexical_filtered, lexical_prefix, lexical_phrase, vector_topk, vector_filtered, vector_dim_mismatch,
         hybrid_topk, rerank, dedup, retrieve_full, recent, since_filter, stats_by_dimension, distinct_paths, get_by_id, upsert_last_writer, manifest_diff, forget_repo, citation,
     )
 }
 SQL = {
-    "doc_normalize": DOC_NORMALIZE, "redact_all": _redact_sql(), "redact_entropy": REDACT_ENTROPY, "clean_blocks": CLEAN_BLOCKS, "turn_documents": TURN_DOCUMENTS,
+    "doc_normalize": DOC_NORMALIZE, "redact_all": _redact_sql(), "redact_entropy": REDACT_ENTROPY, "redact_high": _redact_high_sql(), "clean_blocks": CLEAN_BLOCKS, "turn_documents": TURN_DOCUMENTS,
     "turns_claude": _turns_sql("claude"), "turns_codex": _turns_sql("codex"), "turns_gemini": _turns_sql("gemini"), "link_commits": LINK_COMMITS, "work_signal": WORK_SIGNAL,
     "chunk_windows": CHUNK_WINDOWS, "chunk_symbols": _chunk_sql(), "token_counts": TOKEN_COUNTS, "corpus_stats": CORPUS_STATS, "lexical_topk": _lexical_sql(QUERY, 50),
     "lexical_filtered": _lexical_sql(QUERY, 20, "source_type = 'note'"), "lexical_prefix": _lexical_sql(PREFIX_QUERY, 30), "lexical_phrase": _lexical_sql(PHRASE_QUERY, 30),
