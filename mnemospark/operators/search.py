@@ -27,8 +27,9 @@ K1, B = 1.2, 0.75
 # -- the index --------------------------------------------------------------------------------------------------
 def postings(docs: DataFrame) -> DataFrame:
     """(doc_id, field, pos, token) of documents (id, title, text)."""
-    each = lambda f: docs.select(F.col("id").alias("doc_id"), F.lit(f).alias("field"), F.posexplode(index_tokens(F.col(f))).alias("pos", "token"))
-    return each("title").unionAll(each("text"))
+    fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in ("title", "text")])).alias("f")
+    each = docs.select(F.col("id").alias("doc_id"), fields).select("doc_id", "f.field", F.posexplode(index_tokens(F.col("f.value"))).alias("pos", "token"))
+    return each.select("doc_id", "field", "pos", "token")
 
 
 def doc_lengths(docs: DataFrame) -> DataFrame:
