@@ -114,8 +114,9 @@ def folding() -> tuple[str, str]:
 
 
 def fold(c: Column) -> Column:
-    """Lower case, letters without their single mark."""
-    return F.translate(F.lower(c), *folding())
+    """Lower case, letters without their single mark; only texts that have letters beyond ASCII are translated."""
+    low = F.lower(c)
+    return F.when(low.rlike("[\u00c0-\u1fff]"), F.translate(low, *folding())).otherwise(low)
 
 
 def index_tokens(c: Column) -> Column:
@@ -123,6 +124,11 @@ def index_tokens(c: Column) -> Column:
     return F.regexp_extract_all(fold(F.coalesce(c, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
+def token_count(c: Column) -> Column:
+    """The number of index tokens of a text; folding changes letters, not their number of runs."""
+    return F.regexp_count(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN))
+
+
 def word_set(c: Column) -> Column:
     """The distinct lower-case words of a text; none for NULL."""
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(WORD), F.lit(0)))

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import folding, has_work, index_tokens, jaccard, word_set
+from ..functions.text import folding, has_work, index_tokens, jaccard, token_count, word_set
 
 RRF = 60
 PENALTY = 8
@@ -34,7 +34,7 @@ def postings(docs: DataFrame) -> DataFrame:
 
 def doc_lengths(docs: DataFrame) -> DataFrame:
     """(doc_id, dl): index tokens of title and text, also of documents without any."""
-    return docs.select(F.col("id").alias("doc_id"), (F.size(index_tokens(F.col("title"))) + F.size(index_tokens(F.col("text")))).alias("dl"))
+    return docs.select(F.col("id").alias("doc_id"), (token_count(F.col("title")) + token_count(F.col("text"))).alias("dl"))
 
 
 def corpus_stats(lengths: DataFrame) -> DataFrame:
