@@ -33,6 +33,8 @@ REACH = 0.5
 CELL, BLOCK = 1_024, 4_096
 #: Pairs of queries and vectors whose counters and cosines are in memory at once.
 PAIRS_AT_ONCE = 400_000
+#: Distances between vectors and centres that are in memory at once.
+AT_ONCE = 1 << 21
 #: Share of candidates among those pairs from which all cosines are made by one matrix product, of which candidates' count.
 DENSE = 0.05
 #: Components of all vectors that cells are fitted on (64 MB), and sampled vectors that a cell takes at least.
@@ -92,23 +94,52 @@ def search_block(data: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int,
 
 
 def fit_cells(sample: np.ndarray, cells: int) -> np.ndarray:
-    """``cells`` centres of the rows of ``sample`` by a few rounds of k-means."""
+    """``cells`` centres of the rows of ``sample`` by a few rounds of k-means; a part of the rows at a time."""
     centres = sample[np.random.default_rng(SEED).choice(len(sample), cells, replace=False)].copy()
     for _ in range(8 if cells > 1 else 1):
-        home = nearest(sample, centres)[0]
+        home = np.concatenate([nearest(sample[at], centres)[0] for at in parts_of(len(sample), cells)])
         order = np.argsort(home, kind="stable")
-        at, first = np.unique(home[order], return_index=True)
-        sums = np.add.reduceat(sample[order], first, axis=0)
-        centres[at] = sums / np.diff(np.append(first, len(order)))[:, None]
+        sums, size = np.zeros((cells, sample.shape[1])), np.bincount(home, minlength=cells)
+        for at in parts_of(len(order), sample.shape[1]):
+            own, first = np.unique(home[order[at]], return_index=True)
+            sums[own] += np.add.reduceat(sample[order[at]], first, axis=0)
+        centres[size > 0] = sums[size > 0] / size[size > 0, None]
     return centres
 
 
+def parts_of(rows: int, width: int) -> list[slice]:
+    """``rows`` rows in parts of which a table of ``width`` columns has at most AT_ONCE numbers."""
+    step = max(1, AT_ONCE // width)
+    return [slice(at, min(at + step, rows)) for at in range(0, rows, step)] or [slice(0, 0)]
+
+
 def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nearest centre of every row, and the squared distances to all but for the rows' own lengths."""
-    apart = (centres**2).sum(axis=1)[None, :] - 2 * (x @ centres.T)
+    apart = x @ (-2 * centres.T)
+    apart += (centres**2).sum(axis=1)
     return apart.argmin(axis=1), apart
 
 
+def _sampled(unique: DataFrame, dim: int, n: int, most: int) -> np.ndarray:
+    """About ``most`` (or all, if fewer) of the ``n`` vectors of one dimension, at length 1, in the order of their hashed
+    ids. Tasks pick them and send them as bytes, about 4 MB at a time."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"n": [len(b)], "h": [b["h"].to_numpy(dtype=np.int64).tobytes()], "x": [_unit(b["vec"]).tobytes()]})
+
+    h = unique.where(F.col("dim") == dim).select(F.xxhash64("uid").alias("h"), "vec")
+    drawn = h if n <= most else h.where(F.pmod(F.xxhash64(F.lit(SEED), "h"), F.lit(1 << 40)) < int(most / n * (1 << 40)))
+    packed = drawn.mapInPandas(pack, "n int, h binary, x binary").repartition(max(1, min(n, most) * dim >> 20))
+    hashes, rows = [], []
+    for r in packed.toLocalIterator():
+        hashes.append(np.frombuffer(bytes(r["h"]), np.int64))
+        rows.append(np.frombuffer(bytes(r["x"]), np.float32).reshape(r["n"], dim))
+    order = np.argsort(np.concatenate(hashes), kind="stable")
+    return np.concatenate(rows)[order]
+
+
 def nearest_vectors(vectors: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     """(vec_id, nbr_id, cosine): the ``k`` most similar other vectors of each vector, ties by smaller id.
 
@@ -118,17 +149,16 @@ def nearest_vectors(vectors: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     """
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vec").cast("array<float>").alias("vec")).dropna()
     v = v.where(F.exists("vec", lambda x: x != 0) & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x)))
-    v = cut(v.groupBy("vec_id").agg(F.min("vec").alias("vec")))
+    v = cut(v.groupBy("vec_id").agg(F.min("vec").alias("vec")), sized=False)
     ranked = v.withColumn("r", F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))).where(F.col("r") <= k + 1)
     unique = ranked.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    unique = cut(unique.select(F.get("ids", F.lit(0)).alias("uid"), F.size("vec").alias("dim"), "vec", "ids"))
+    unique = cut(unique.select(F.get("ids", F.lit(0)).alias("uid"), F.size("vec").alias("dim"), "vec", "ids"), sized=False)
     spark = vectors.sparkSession
     sizes = {r["dim"]: r["n"] for r in unique.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(FITTED).collect()}
     fitted: dict[int, np.ndarray] = {}
     first = 0
     for dim, n in sizes.items():
-        sample = unique.where(F.col("dim") == dim).orderBy(F.xxhash64("uid")).limit(max(PER_CELL, SAMPLE_VALUES // len(sizes) // dim)).select("vec").toPandas()["vec"]
-        x = _unit(sample)
+        x = _sampled(unique, dim, n, max(PER_CELL, SAMPLE_VALUES // len(sizes) // dim))
         fitted[dim] = fit_cells(x, max(1, min(n // CELL, len(x) // PER_CELL)))
     starts = dict(zip(fitted, np.cumsum([0, *(len(c) for c in fitted.values())]).tolist(), strict=False))
     shared = spark.sparkContext.broadcast((fitted, starts))
@@ -141,10 +171,10 @@ def nearest_vectors(vectors: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for part, x, centres, start in by_dim(b):
-                home = start + (nearest(x, centres)[0] if centres is not None else np.zeros(len(x), dtype=np.int64))
-                yield pd.DataFrame({"uid": part["uid"], "cell": home, "vec": part["vec"]})
+                cell = np.zeros(len(x), dtype=np.int64) if centres is None else np.concatenate([nearest(x[at], centres)[0] for at in parts_of(len(x), len(centres))])
+                yield pd.DataFrame({"uid": part["uid"], "cell": start + cell, "vec": part["vec"]})
 
-    celled = cut(unique.select("uid", "vec").mapInPandas(assign, "uid long, cell long, vec array<float>"))
+    celled = cut(unique.select("uid", "vec").mapInPandas(assign, "uid long, cell long, vec array<float>"), sized=False)
     parts = celled.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
     data = celled.join(parts, "cell")
 
@@ -170,20 +200,22 @@ def nearest_vectors(vectors: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
 
     def reached(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for part, x, centres, start in by_dim(b):
+            for whole, vectors, centres, start in by_dim(b):
                 if centres is None or len(centres) < 2:
                     continue
-                apart, home = nearest(x, centres)[1], part["cell"].to_numpy() - start
-                own = np.take_along_axis(apart, home[:, None], axis=1)
-                between = np.sqrt(np.maximum(1e-12, ((centres[home] ** 2).sum(axis=1)[:, None] + (centres**2).sum(axis=1)[None, :] - 2 * centres[home] @ centres.T)))
-                open_ = (apart - own) / (2 * between) <= REACH * part["radius"].to_numpy()[:, None]
-                open_[np.arange(len(x)), home] = False
-                q, c = np.nonzero(open_)
-                for at in range(0, len(q), 10_000):
-                    rows = q[at : at + 10_000]
-                    yield pd.DataFrame({"uid": part["uid"].to_numpy()[rows], "cell": start + c[at : at + 10_000], "vec": part["vec"].to_numpy()[rows], "radius": part["radius"].to_numpy()[rows]})
-
-    home = cut(asked(celled.withColumn("radius", F.lit(None).cast("double"))))
+                for piece in parts_of(len(whole), len(centres)):
+                    part, x = whole.iloc[piece], vectors[piece]
+                    apart, home = nearest(x, centres)[1], part["cell"].to_numpy() - start
+                    own = np.take_along_axis(apart, home[:, None], axis=1)
+                    between = np.sqrt(np.maximum(1e-12, ((centres[home] ** 2).sum(axis=1)[:, None] + (centres**2).sum(axis=1)[None, :] - 2 * centres[home] @ centres.T)))
+                    open_ = (apart - own) / (2 * between) <= REACH * part["radius"].to_numpy()[:, None]
+                    open_[np.arange(len(x)), home] = False
+                    q, c = np.nonzero(open_)
+                    for at in range(0, len(q), 10_000):
+                        rows = q[at : at + 10_000]
+                        yield pd.DataFrame({"uid": part["uid"].to_numpy()[rows], "cell": start + c[at : at + 10_000], "vec": part["vec"].to_numpy()[rows], "radius": part["radius"].to_numpy()[rows]})
+
+    home = cut(asked(celled.withColumn("radius", F.lit(None).cast("double"))), sized=False)
     own = Window.partitionBy("uid").orderBy(F.desc("cosine"), "other")
     far = home.withColumn("r", F.row_number().over(own)).where(F.col("r") == k + 1).select("uid", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("cosine"))).alias("radius"))
     wide = celled.join(far, "uid", "left").select("uid", "cell", "vec", F.coalesce(F.col("radius"), F.lit(2.0)).alias("radius"))

@@ -50,10 +50,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder: later jobs read it instead of computing it again."""
-    shared_folder(df.sparkSession)
+def cut(df: DataFrame, sized: bool = True) -> DataFrame:
+    """``df`` written once to the shared folder: later jobs read it instead of computing it again.
+
+    Spark keeps the size it guessed for ``df``, in which an array counts as one element. Without ``sized`` it forgets that
+    guess, so that no join sends the rows through the driver before their real size is known.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
     written = df.checkpoint(eager=True)
+    if not sized:
+        of = written._jdf
+        written = DataFrame(spark._jsparkSession.internalCreateDataFrame(of.queryExecution().toRdd(), of.schema(), False), spark)
     del df
     gc.collect()  # with the references gone, the JVM's collector lets Spark drop the shuffle files behind the cut
     written.sparkSession.sparkContext._jvm.System.gc()

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 
 from mnemospark.llm import similar_vectors as V
@@ -47,3 +49,28 @@ def test_a_cell_is_searched_whole():
     want = np.argsort(-(x[:200] @ x.T), axis=1, kind="stable")[:, :5]
     assert len(q) == 1000 and np.mean([len(set(other[q == k]) & set(want[k])) for k in range(200)]) > 4.95
     assert np.allclose(cosine, (x[q] * x[other]).sum(axis=1))
+
+
+def test_cells_are_fitted_in_bounded_memory():
+    x = np.random.default_rng(5).standard_normal((40_000, 16)).astype(np.float32)
+    tracemalloc.start()
+    centres = V.fit_cells(x, 2_500)  # all distances at once are 400 MB
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert centres.shape == (2_500, 16) and most < 60e6
+
+
+def test_the_driver_gets_a_bounded_sample(spark, monkeypatch):
+    monkeypatch.setattr(V, "SAMPLE_VALUES", 3_000)
+    monkeypatch.setattr(V, "CELL", 40)
+    seen = []
+    fit = V.fit_cells
+    monkeypatch.setattr(V, "fit_cells", lambda x, cells: seen.append((len(x), cells)) or fit(x, cells))
+    rng = np.random.default_rng(6)
+    rows = [(i, v) for i, v in enumerate((rng.standard_normal((9, 8))[rng.integers(0, 9, 900)] + 0.3 * rng.standard_normal((900, 8))).astype(np.float32).tolist())]
+    got: dict[int, list[int]] = {}
+    for r in V.nearest_vectors(spark.createDataFrame(rows, "vec_id long, vec array<float>")).collect():
+        got.setdefault(r["vec_id"], []).append(r["nbr_id"])
+    want = brute(rows, 10)
+    assert 300 < seen[0][0] < 450 and seen[0][1] > 10
+    assert sum(len(set(got[i]) & set(want[i])) for i in want) / (10 * len(want)) > 0.97
