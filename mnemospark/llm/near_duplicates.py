@@ -251,7 +251,7 @@ def candidates(groups: DataFrame) -> DataFrame:
 def _shared(groups: DataFrame) -> tuple[DataFrame, Column]:
     spark = groups.sparkSession
     counts = spark.sparkContext.broadcast(_rare_counts(groups))
-    held = cut(_matrix(groups, False, counts))
+    held = cut(_matrix(groups, False, counts), sized=False)
     slot = F.pmod(F.shiftrightunsigned("key", 17), F.lit(KNOWN))
     byte = held.select(F.floor(slot / 8).cast("int").alias("slot"), F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (slot % 8 + 1).cast("int")).alias("bit"))
     known = spark.sparkContext.broadcast(_packed(byte.groupBy("slot").agg(F.bit_or("bit").alias("n")), KNOWN // 8, 0))
@@ -264,12 +264,12 @@ def _shared(groups: DataFrame) -> tuple[DataFrame, Column]:
 def _links(groups: DataFrame) -> DataFrame:
     """(a, b) of links between sets of different labels, enough to connect all that are connected."""
     shared, fits = _shared(groups)
-    pairs = cut(shared.where(fits).select("sid", "gid").distinct())
+    pairs = cut(shared.where(fits).select("sid", "gid").distinct(), sized=False)
     if pairs.count() <= SENT_PAIRS:
         pairs = F.broadcast(pairs)
     members = groups.select(F.posexplode("sids").alias("k", "sid"), "sizes", "tokens")
     start = F.aggregate(F.slice("sizes", F.lit(1), F.col("k")), F.lit(0), lambda a, x: a + x)
-    asked = cut(members.join(pairs, "sid").select("sid", "gid", F.slice("tokens", start + 1, F.get("sizes", F.col("k"))).alias("query")))
+    asked = cut(members.join(pairs, "sid").select("sid", "gid", F.slice("tokens", start + 1, F.get("sizes", F.col("k"))).alias("query")), sized=False)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -292,7 +292,7 @@ def _grouped(r: DataFrame) -> DataFrame:
     one = sets.groupBy("key").agg(F.min("node").alias("sid"), F.first(F.struct("m1", "m2", "m3", "tokens")).alias("x")).select("sid", "x.*")
     order = ["m1", "m2", "m3", "sid"]
     rows = one.repartitionByRange(*order).sortWithinPartitions(*order).select("m1", "sid", "tokens")
-    return cut(rows.mapInPandas(_cut_groups, "gid long, label long, sids array<long>, sizes array<int>, tokens array<long>"))
+    return cut(rows.mapInPandas(_cut_groups, "gid long, label long, sids array<long>, sizes array<int>, tokens array<long>"), sized=False)
 
 
 def near_duplicate_groups(records: DataFrame) -> DataFrame:
@@ -308,7 +308,7 @@ def near_duplicate_groups(records: DataFrame) -> DataFrame:
     near = groups.select(F.explode("sids").alias("a"), F.col("label").alias("b"))
     links = _links(groups).unionAll(near.where("a <> b"))
 
-    keys = cut(r.mapInPandas(lambda b: _token_sets(b, False), "node long, key binary").distinct())
+    keys = cut(r.mapInPandas(lambda b: _token_sets(b, False), "node long, key binary").distinct(), sized=False)
     copies = keys.groupBy("key").agg(F.min("node").alias("sid"), (F.min("node") < F.max("node")).alias("copied"))
     several = keys.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
     bridges = keys.join(several, "node").join(copies, "key").select(F.col("node").alias("a"), F.col("sid").alias("b"))

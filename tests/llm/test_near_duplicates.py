@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from mnemospark.llm import near_duplicates as N
 
@@ -88,3 +89,12 @@ def test_alike_is_exact():
         got = N.alike(sets[0], np.concatenate(sets[1:]), np.array([len(x) for x in sets[1:]]))
         t = set(sets[0].tolist())
         assert got.tolist() == [5 * len(t & set(x.tolist())) >= 4 * len(t | set(x.tolist())) for x in sets[1:]]
+
+
+def test_no_join_sends_the_groups_by_a_guessed_size(spark, tmp_path):
+    rows = [(k, " ".join(f"w{j}" for j in range(k, k + 30))) for k in range(40)]
+    spark.createDataFrame(rows, "node long, text string").write.parquet(f"{tmp_path}/r")
+    groups = N._grouped(spark.read.parquet(f"{tmp_path}/r"))
+    joined = groups.join(groups.select("gid", F.col("label").alias("other")), "gid")
+    assert joined.count() == groups.count() > 0
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
